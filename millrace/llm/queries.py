@@ -6,6 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .minhash import near_duplicates
+from .packing import pack_documents
+from .quality import judge_documents
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_documents(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,7 +23,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op10_minhash": op10_minhash}
+    return {"op1_quality": op1_quality, "op4_packing": op4_packing, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
