@@ -31,6 +31,24 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: Tables of up to so many rows of a few longs are broadcast; their rows are counted first.
+BROADCAST_ROWS = 200_000
+_ROWS_A_TASK = 100_000
+
+
+def settle(df: DataFrame) -> tuple[DataFrame, int]:
+    """Cut lineage in the shared folder; the table, in no more partitions than its rows fill, and its rows."""
+    df = df.checkpoint()
+    n = df.count()
+    parts = max(1, -(-n // _ROWS_A_TASK))
+    return (df.coalesce(parts) if parts < df.rdd.getNumPartitions() else df), n
+
+
+def hinted(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """With a broadcast hint if its counted rows are few enough."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,9 @@ a bucket. Within a bucket candidate edges form a star: every member is paired wi
 members gives m - 1 pairs. Links are confirmed on full shingle sets. Members whose component still differs from
 that of another member of a bucket meet a new centre in the next round, until a round finds no link.
 
-With 32 bands of 4 bins, a pair of similarity 0.75 shares no bucket with probability 5e-6.
+With 32 bands of 4 bins, a pair of similarity 0.75 shares no bucket with probability 5e-6. Before texts are moved,
+a pair is dropped if its signatures agree in a share of bins that is lower than the wanted similarity by 0.2 or more; that is five
+standard deviations, so a pair of similarity 0.75 is dropped with probability below 1e-6.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, prepare, shingle_hashes
+from .common import WordHashes, hinted, mix64, prepare, settle, shingle_hashes
 from .components import connected_components
 
 BANDS, ROWS = 32, 4
+#: Up to so many ids of candidates (8 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def probe_orders(bins: int, seed: int = 7) -> np.ndarray:
@@ -70,18 +74,32 @@ def _sketch(bands: int, rows: int, width: int):
                 if len(own):
                     signatures.append(signature(own, orders))
                     where.append(i)
-            buckets = [None] * len(sizes)
+            buckets, sketches = [None] * len(sizes), [None] * len(sizes)
             if where:
-                for i, x in zip(where, band_keys(np.array(signatures), bands, rows), strict=True):
-                    buckets[i] = x
+                stacked = np.array(signatures)
+                for i, x, low in zip(where, band_keys(stacked, bands, rows), stacked.astype(np.uint8), strict=True):
+                    buckets[i], sketches[i] = x, low.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-                ["id", "n", "set_key", "buckets"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                ["id", "n", "set_key", "buckets", "sketch"],
             )
 
     return run
 
 
+def _likely(least: int):
+    """Keep the pairs whose sketches, the low bytes of their signatures, agree in at least ``least`` places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8) for i in (2, 3))
+            if batch.num_rows:
+                agree = (a == b).reshape(batch.num_rows, -1).sum(axis=1) >= least
+                yield batch.select(["u", "v"]).filter(pa.array(agree))
+
+    return run
+
+
 def _confirm(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -117,15 +135,21 @@ def near_duplicates(
     spark = docs.sparkSession
     prepare(spark)
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = rows_in.mapInArrow(_sketch(bands, rows, width), "id long, n long, set_key binary, buckets array<long>").checkpoint()
-    classes = sketched.where("n > 0 and id is not null").groupBy("set_key").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    sketched = rows_in.mapInArrow(_sketch(bands, rows, width), "id long, n long, set_key binary, buckets array<long>, sketch binary").checkpoint()
+    classes = sketched.where("n > 0 and id is not null").groupBy("set_key").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"))
     members = classes.select("node", "n", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket")
-    members = members.join(shared, "bucket").checkpoint()
+    members, _ = settle(members.join(shared, "bucket"))
+    near, n_near = settle(members.select("node").distinct())
+    sketches = sketched.where("n > 0 and id is not null").select(F.col("id").alias("node"), "sketch").join(hinted(near, n_near), "node", "left_semi")
+    sketches, _ = settle(sketches.groupBy("node").agg(F.min("sketch").alias("sketch")))
+    least = int((percent / 100 - 0.2) * bands * rows)
 
-    labels, tested, links = None, None, None
+    labels, n_labels, tested, n_tested, links = None, 0, None, 0, None
     for turn in range(max_rounds):
-        here = members.withColumn("component", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        here = members.withColumn("component", F.col("node"))
+        if labels is not None:
+            here = members.join(hinted(labels, n_labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
         order = F.col("node") if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn))
         centres = (
             here.groupBy("bucket")
@@ -141,31 +165,40 @@ def near_duplicates(
             .distinct()
         )
         if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = pairs.checkpoint()
-        if pairs.isEmpty():
+            pairs = pairs.join(hinted(tested, n_tested), ["u", "v"], "left_anti")
+        pairs, n_pairs = settle(pairs)
+        if not n_pairs:
             break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = _links(rows_in, pairs, width, percent).checkpoint()
-        if turn and found.isEmpty():
+        tested, n_tested = pairs if tested is None else tested.unionByName(pairs), n_tested + n_pairs
+        likely = (
+            sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a"))
+            .join(hinted(pairs, n_pairs), "u")
+            .join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("b")), "v")
+            .select("u", "v", "a", "b")
+            .mapInArrow(_likely(least), "u long, v long")
+        )
+        likely, n_likely = settle(likely)
+        found, n_found = settle(_links(rows_in, likely, n_likely, width, percent))
+        if not n_found and turn:
             break
         links = found if links is None else links.unionByName(found)
-        labels = connected_components(links).checkpoint()
+        labels, n_labels = connected_components(links)
 
     nodes = sketched.where("n > 0").groupBy("set_key").agg(F.min("id").alias("node"))
     if labels is not None:
-        nodes = nodes.join(labels, "node", "left").withColumn("node", F.coalesce("component", "node"))
+        nodes = nodes.join(hinted(labels, n_labels), "node", "left").withColumn("node", F.coalesce("component", "node"))
     out = sketched.select("id", "n", "set_key").join(nodes.select("set_key", F.col("node").alias("component_id")), "set_key", "left")
     component = F.coalesce("component_id", F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _links(rows_in: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _links(rows_in: DataFrame, pairs: DataFrame, n_pairs: int, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar enough. Each text is moved once per pair, as the member u."""
-    needed = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct()
-    texts = rows_in.join(needed.withColumnRenamed("u", "id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    needed, n = settle(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct())
+    texts = rows_in.join(hinted(needed, n, BROADCAST_IDS), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     joined = (
-        pairs.join(texts.select(F.col("id").alias("u"), "text"), "u")
+        texts.select(F.col("id").alias("u"), "text")
+        .join(hinted(pairs, n_pairs), "u")
         .join(texts.select(F.col("id").alias("v"), F.col("text").alias("other")), "v")
         .select("u", "v", "text", "other")
     )
