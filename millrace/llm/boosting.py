@@ -62,13 +62,24 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, rate: flo
 
 
 def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt scaling: a, b such that 1 / (1 + exp(-(a z + b))) fits held-out outcomes, by ridge-damped Newton steps."""
-    a, b = 1.0, 0.0
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-(a * z + b)))
-        w = p * (1 - p)
-        grad = np.array([((y - p) * z).sum() - 0.1 * (a - 1), (y - p).sum() - 0.1 * b])
-        hess = np.array([[(w * z * z).sum() + 0.1, (w * z).sum()], [(w * z).sum(), w.sum() + 0.1]])
-        step = np.linalg.solve(hess, grad)
-        a, b = a + float(np.clip(step[0], -1, 1)), b + float(np.clip(step[1], -1, 1))
-    return a, b
+    """Platt scaling: a, b such that 1 / (1 + exp(-(a z + b))) fits held-out outcomes, by Newton steps that are halved until they help."""
+    middle, spread = float(z.mean()), float(z.std()) or 1.0
+    x = np.stack([(z - middle) / spread, np.ones(len(z))], axis=1)
+    share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
+    w = np.array([1.0, np.log(share / (1 - share))])
+
+    def loss(w: np.ndarray) -> float:
+        t = x @ w
+        return float(np.logaddexp(0, t).sum() - (y * t).sum() + 0.01 * (w @ w))
+
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.02 * np.eye(2), x.T @ (y - p) - 0.02 * w)
+        scale = 1.0
+        while scale > 1e-4 and loss(w + scale * step) > loss(w):
+            scale /= 2
+        w = w + scale * step
+        if np.abs(scale * step).max() < 1e-6:
+            break
+    a = float(w[0]) / spread
+    return a, float(w[1]) - a * middle

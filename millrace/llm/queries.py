@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii
+from . import decontaminate, langid, pii, toxicity
 from .common import table
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -19,6 +19,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.evaluated(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -27,12 +31,16 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.evaluated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_pii": op2_pii, "op4_packing": op4_packing, "op6_decontamination": op6_decontamination, "op10_minhash": op10_minhash}
+    return {"op1_quality": op1_quality, "op2_pii": op2_pii, "op3_langid": op3_langid, "op4_packing": op4_packing, "op6_decontamination": op6_decontamination, "op8_toxicity": op8_toxicity, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
