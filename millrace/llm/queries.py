@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, pii, toxicity
+from . import chat, decontaminate, langid, pii, toxicity, urls
 from .common import table
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -27,6 +27,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(urls.RULES, "verdict string, host string, path string"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,13 +39,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.evaluated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(chat.examples(chat.with_planted(spark, table(spark, sf_dir, "conversations"))))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_pii": op2_pii, "op3_langid": op3_langid, "op4_packing": op4_packing, "op6_decontamination": op6_decontamination, "op8_toxicity": op8_toxicity, "op10_minhash": op10_minhash}
+    return {"op1_quality": op1_quality, "op2_pii": op2_pii, "op3_langid": op3_langid, "op4_packing": op4_packing, "op5_url_filter": op5_url_filter, "op6_decontamination": op6_decontamination, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": decontaminate.oracle()}
+    return {"op5_url_filter": urls.oracle(), "op6_decontamination": decontaminate.oracle(), "op9_chat": chat.oracle()}
