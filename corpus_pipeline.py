@@ -1,12 +1,74 @@
-"""A training-corpus pipeline: stages that each read the documents their predecessor kept."""
+"""A training-corpus pipeline: each stage reads the documents that its predecessor kept and returns the columns of documents, the last one packed pieces.
+
+Quality rules drop documents and failing lines; near-duplicate groups keep one document; documents that hold a benchmark item go; personal
+data is masked in place; what remains is packed into token sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm.common import hinted, settle, table
+from millrace.llm.decontaminate import contaminated
+from millrace.llm.minhash import BROADCAST_IDS, near_duplicates
+from millrace.llm.packing import pack_documents
+from millrace.llm.pii import find_personal_data, redacted
+from millrace.llm.quality import judge_documents
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _shaped(docs: DataFrame) -> DataFrame:
+    """The columns of documents, with n_chars of the present text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, without their failing lines."""
+    judged = judge_documents(docs, carry=("lang", "source"))
+    return _shaped(judged.where("kept").withColumn("text", F.col("cleaned")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group. Rows that repeat the id of a kept document are copies of it: one of them stays."""
+    verdicts = near_duplicates(docs)
+    dropped, n_dropped = settle(verdicts.where("doc_id is not null and not kept").select("doc_id").distinct())
+    kept = docs.join(hinted(dropped, n_dropped, BROADCAST_IDS), "doc_id", "left_anti")
+    repeated, n_repeated = settle(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if n_repeated:
+        again = kept.join(hinted(repeated, n_repeated, BROADCAST_IDS), "doc_id", "left_semi")
+        one = again.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")).select("doc_id", "row.*")
+        kept = kept.join(hinted(repeated, n_repeated, BROADCAST_IDS), "doc_id", "left_anti").unionByName(one)
+    return kept.select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item. Ids are unique by now but for null ones, which go by their text."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.sha2("text", 256))
+    keyed = docs.withColumn("_key", key)
+    found = contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="_key")
+    held, n_held = settle(found.select("_key").distinct())
+    return keyed.join(hinted(held, n_held, BROADCAST_IDS), "_key", "left_anti").select(*COLUMNS)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind in brackets."""
+    return _shaped(find_personal_data(docs).withColumn("text", redacted()))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with their place in a sequence."""
+    return pack_documents(docs)
+
 
-STAGES: list = []
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mask_personal_data", mask_personal_data), ("pack", pack)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents of a folder."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, langid, pii, toxicity, urls
+from . import chat, decontaminate, langid, pii, toxicity, urls, warc
 from .common import table
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -35,6 +35,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.resolve_revisits(warc.captures_of(table(spark, sf_dir, "pages"))))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.evaluated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,8 +52,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_pii": op2_pii, "op3_langid": op3_langid, "op4_packing": op4_packing, "op5_url_filter": op5_url_filter, "op6_decontamination": op6_decontamination, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_minhash": op10_minhash}
+    return {"op1_quality": op1_quality, "op2_pii": op2_pii, "op3_langid": op3_langid, "op4_packing": op4_packing, "op5_url_filter": op5_url_filter, "op6_decontamination": op6_decontamination, "op7_warc": op7_warc, "op8_toxicity": op8_toxicity, "op9_chat": op9_chat, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": urls.oracle(), "op6_decontamination": decontaminate.oracle(), "op9_chat": chat.oracle()}
+    return {"op5_url_filter": urls.oracle(), "op6_decontamination": decontaminate.oracle(), "op7_warc": warc.oracle(), "op9_chat": chat.oracle()}
