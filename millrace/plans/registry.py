@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import text_queries
+
+_MODULES = (text_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: q for m in _MODULES for k, q in m.ORACLES.items()}
