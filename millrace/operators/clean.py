@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import any_of, duck, duck_any, duck_has, duck_trimmed, duck_words, has, let, lit, n_words, trimmed, SPACES
+from ..functions.text import duck, duck_any, duck_has, duck_trimmed, duck_words, has, let, lit, n_words, trimmed, SPACES
 
 #: Lines that are page furniture.
 BOILERPLATE = (
@@ -39,6 +39,19 @@ CITATION = (
     r"(?i)\barchived from the original\b",
     r"\([A-Z][\w\s.]*:\s*[^)]*,\s*(19|20)\d{2}\)",
 )
+#: What a line must contain, in lower case, for a pattern to be worth matching; the others are anchored or cheap.
+_NEEDS = {
+    BOILERPLATE[6]: ("cookie",),
+    BOILERPLATE[7]: ("cookie",),
+    BOILERPLATE[8]: ("cookie",),
+    BOILERPLATE[9]: ("your ",),
+    BOILERPLATE[10]: ("newsletter", "mailing list"),
+    CITATION[0]: ("isbn", "issn", "doi", "oclc", "jstor", "arxiv"),
+    CITATION[1]: ("{{cite",),
+    CITATION[2]: ("retrieved",),
+    CITATION[3]: ("archived from the original",),
+    CITATION[4]: ("19", "20"),
+}
 PAGE_RANGE = r"\b\d{1,4}\s*[-–]\s*\d{0,4}"
 SECTION_NUMBER = r"^[A-Z]?\d+(\.\d+)*\.?\s+"
 NUMBERED = r"^[A-Z]?\d+(\.\d+)*\.?\s+\S"
@@ -46,15 +59,23 @@ MARKER = r"\b[A-Z]?\d+\.\d+\b"
 EDIT = r"(?i)\s*\[edit\]\s*$"
 
 
+def _any_of(x: str, low: str, patterns: tuple[str, ...]) -> str:
+    def one(p: str) -> str:
+        needs = " OR ".join(f"contains({low}, '{n}')" for n in _NEEDS.get(p, ()))
+        return f"(({needs}) AND {has(x, p)})" if needs else has(x, p)
+
+    return "(" + " OR ".join(map(one, patterns)) + ")"
+
+
 def _contents(x: str) -> str:
     body = f"regexp_replace({x}, {lit(SECTION_NUMBER)}, '')"
     label = f"({has(x, NUMBERED)} AND NOT ({has(body, '[.!]$')} OR {n_words(body)} > 9))"
     markers = f"regexp_count({x}, {lit(MARKER)})"
-    return f"({label} OR ({markers} >= 3 AND NOT {has(x, '[.!]$')} AND {n_words(x)} <= 6 * {markers}))"
+    return f"({label} OR (contains({x}, '.') AND {markers} >= 3 AND NOT {has(x, '[.!]$')} AND {n_words(x)} <= 6 * {markers}))"
 
 
-def _cites(x: str) -> str:
-    return f"({any_of(x, CITATION)} OR regexp_count({x}, {lit(PAGE_RANGE)}) >= 3)"
+def _cites(x: str, low: str) -> str:
+    return f"({_any_of(x, low, CITATION)} OR ({x} rlike '[0-9]' AND regexp_count({x}, {lit(PAGE_RANGE)}) >= 3))"
 
 
 def with_lines(pages: DataFrame, text_col: str = "text") -> DataFrame:
@@ -69,9 +90,10 @@ def with_lines(pages: DataFrame, text_col: str = "text") -> DataFrame:
     kind = let("t", name, f"CASE WHEN {has('t', TAIL_HEADING)} THEN 1 WHEN {has('t', TAIL_SUBHEADING)} THEN 2 ELSE 3 END")
     event = f"IF(f.heading, {kind}, 0)"
     own = (
-        f"CASE WHEN f.line = '' THEN 'blank' WHEN {any_of('f.plain', BOILERPLATE)} THEN 'boilerplate' WHEN {_contents('f.plain')} THEN 'contents'"
-        f" WHEN NOT f.heading AND {_cites('f.plain')} THEN 'citation' WHEN NOT f.heading AND char_length(f.plain) < 3 THEN 'tiny' ELSE 'kept' END"
+        f"CASE WHEN f.line = '' THEN 'blank' WHEN {_any_of('f.plain', 'low', BOILERPLATE)} THEN 'boilerplate' WHEN {_contents('f.plain')} THEN 'contents'"
+        f" WHEN NOT f.heading AND {_cites('f.plain', 'low')} THEN 'citation' WHEN NOT f.heading AND char_length(f.plain) < 3 THEN 'tiny' ELSE 'kept' END"
     )
+    own = let("low", "lower(f.plain)", own)
     facts = f"transform({marked}, f -> named_struct('line', f.line, 'plain', f.plain, 'heading', f.heading, 'event', {event}, 'own', {own}))"
     tail = "aggregate(facts, '', (a, f) -> concat(a, IF(f.event = 1, '1', IF(f.event = 3, '0', IF(endswith(a, '1'), '1', '0')))))"
     keys = "transform(facts, (f, i) -> IF(f.own = 'kept' AND substr(tail, i + 1, 1) = '0', lower(f.plain), NULL))"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import text_queries
+from . import chunk_queries, text_queries, url_queries, vector_queries
 
-_MODULES = (text_queries,)
+_MODULES = (text_queries, chunk_queries, url_queries, vector_queries)
 
 
 def queries() -> dict:
