@@ -111,11 +111,14 @@ def build_chunks(cleaned: DataFrame, id_col: str = "doc_id", text_col: str = "cl
 def capped(chunks: DataFrame, most: int, page_col: str = "doc_id") -> DataFrame:
     """The first ``most`` chunks in document order (0: all), pages renumbered densely as page_index.
 
-    The cut needs a global rank; it is found from chunk counts per page, whose running sum is over pages, not chunks.
+    Every page has a chunk, so a cut lies within the first ``most`` pages; only their counts are ranked in one place. Without a cut all
+    page counts are.
     """
     from pyspark.sql import Window
 
     counts = chunks.groupBy(page_col).agg(F.count("*").alias("n"))
+    if most:
+        counts = counts.orderBy(page_col).limit(most)
     order = Window.orderBy(page_col)
     pages = counts.select(page_col, (F.dense_rank().over(order) - 1).alias("page_index"), (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
     out = chunks.join(pages, page_col)

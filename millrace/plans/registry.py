@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunk_queries, text_queries, url_queries, vector_queries
+from . import answer_queries, chunk_queries, text_queries, url_queries, vector_queries
 
-_MODULES = (text_queries, chunk_queries, url_queries, vector_queries)
+_MODULES = (text_queries, chunk_queries, url_queries, vector_queries, answer_queries)
 
 
 def queries() -> dict:
