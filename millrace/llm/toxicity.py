@@ -22,14 +22,20 @@ from pyspark.sql import functions as F
 from .boosting import calibrate
 from .common import is_held_out, prepare
 
-BUCKETS, DIMS, GRAMS = 1 << 16, 10, (3, 6)
+BUCKETS, DIMS, GRAMS = 1 << 16, 10, (3, 5)
 WINDOW, STRIDE = 8, 4
 #: A text is judged by so many of its words, and an n-gram is known from so many training texts on.
 TOP_WORDS, LEAST_TEXTS = 3, 4
 #: Bounds of the training sample: texts of each label, and characters of a text; longer texts are not in the sample.
 SAMPLE_TEXTS, SAMPLE_CHARS = 2000, 6000
 THRESHOLD = 0.3
-_EDGE = b""".,;:!?"'()[]{}<>*#%&|-_=+~`/\\"""
+_EDGE = b"""'<>*#%&|-_=+~`/\\"""
+#: A-Z to a-z, and sentence marks and brackets to blanks.
+_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\"()[]{}", b"abcdefghijklmnopqrstuvwxyz" + b" " * 13)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return text.encode().translate(_FOLD).split() if text else []
 
 
 def grams(word: bytes, buckets: int = BUCKETS) -> list[int]:
@@ -110,7 +116,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 5) -> tuple[np.ndarray,
     if len(texts) < 8 or not 0 < share < 1:
         return np.zeros(BUCKETS), np.zeros(BUCKETS, bool), 0.0, 0.0, float(np.log((share * len(toxic) + 0.5) / ((1 - share) * len(toxic) + 0.5)))
     rng = np.random.default_rng(seed)
-    words = [t.encode().split() for t in texts]
+    words = [words_of(t) for t in texts]
     fold = rng.permutation(len(texts)) % 4 == 0
     ids = {w: np.array(grams(w), np.int64) for w in {x for i in np.flatnonzero(~fold) for x in words[i]}}
     texts_with = np.zeros(BUCKETS, np.int64)
@@ -152,30 +158,34 @@ def _score(model):
         weights, known, bias, a, b = model.value
         parts = WordLogits(weights, known)
         for batch in batches:
-            z = np.array([text_logit((t.as_py() or "").encode().split(), parts, bias) for t in batch.column(1)])
+            z = np.array([text_logit(words_of(t.as_py()), parts, bias) for t in batch.column(1)])
             score = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["key", "score"])
 
     return run
 
 
-def learn(labelled: DataFrame, id_col: str, text_col: str, label_col: str, texts: int = SAMPLE_TEXTS) -> tuple[np.ndarray, np.ndarray, float, float, float]:
-    """Fit on at most ``texts`` texts of each label, chosen by hashed id; texts that are null or longer than SAMPLE_CHARS and null labels are not used."""
-    rows = labelled.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where(f"y in (0, 1) and length(text) between 1 and {SAMPLE_CHARS}")
-    turn = F.row_number().over(Window.partitionBy("y").orderBy("h", "text"))
-    got = rows.withColumn("turn", turn).where(F.col("turn") <= texts).orderBy("y", "turn").collect()
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, texts: int = SAMPLE_TEXTS) -> tuple[np.ndarray, np.ndarray, float, float, float]:
+    """Fit on at most ``texts`` texts of each label, chosen by hashed id from the labels alone, so that only the sample's texts are moved.
+
+    Texts that are null or longer than SAMPLE_CHARS, null labels and labels other than 0 and 1 are not used.
+    """
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").distinct().withColumn("h", F.xxhash64("id"))
+    ids = rows.withColumn("turn", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).where(F.col("turn") <= texts)
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(f"length(text) between 1 and {SAMPLE_CHARS}")
+    got = known.join(F.broadcast(ids), "id").groupBy("y", "h", "id").agg(F.min("text").alias("text")).orderBy("y", "h", "id").collect()
     return fit([r.text for r in got], np.array([r.y for r in got], int))
 
 
-def score_toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, threshold: float = THRESHOLD) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: id_col, score (0 to 1), predicted (1 if score >= threshold, else 0).
 
-    ``labelled`` has texts with labels 0 and 1 to learn from. Null, empty and wordless texts get the score of the bias alone. Whole texts are scored, in
-    windows. Repeated rows score alike, null ids stay null, other columns are ignored, an empty table gives an empty result.
+    ``labels`` gives ids of docs with labels 0 and 1 to learn from. Null, empty and wordless texts get the score of the bias alone. Whole texts are scored.
+    Repeated rows score alike, null ids stay null, other columns are ignored, an empty table gives an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)
-    model = spark.sparkContext.broadcast(learn(labelled, id_col, text_col, label_col))
+    model = spark.sparkContext.broadcast(learn(docs, labels, id_col, text_col, label_col))
     keyed = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     out = keyed.mapInArrow(_score(model), f"key {keyed.schema['key'].dataType.simpleString()}, score double")
     return out.select(F.col("key").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -183,6 +193,5 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
 
 def evaluated(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's rows: labels off the evaluation fold are learned from, all texts are scored."""
-    known = labels.where(~is_held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    out = score_toxicity(docs, docs.select("doc_id", "text").join(known, "doc_id"))
+    out = score_toxicity(docs, labels.where(~is_held_out(F.col("doc_id"))))
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
