@@ -49,6 +49,11 @@ def hinted(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def let(name: str, value: str, body: str) -> str:
+    """SQL that evaluates ``value`` once and uses it as ``name`` in ``body``; a projected column could be inlined into a lambda and evaluated for each element."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

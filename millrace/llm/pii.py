@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import calibrate, fit
-from .common import prepare
+from .common import let, prepare
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
 TRAINING_TEXTS, SEED = 3000, 11
@@ -47,13 +47,13 @@ def _located(df: DataFrame, name: str, gate: str, pattern: str) -> DataFrame:
     has = F.col("text").rlike(gate)
     df = df.withColumn("_f", F.when(has, F.regexp_extract_all("text", p, F.lit(0))).otherwise(none))
     df = df.withColumn("_g", F.when(F.size("_f") > 0, F.split("text", pattern, -1)).otherwise(none))
-    df = df.withColumn("_l", F.expr("zip_with(slice(_g, 1, size(_f)), _f, (g, f) -> char_length(g) + char_length(f))"))
-    df = df.withColumn("_b", F.expr(f"transform(sequence(0, size(_f) div {_BLOCK}), b -> aggregate(slice(_l, cast(b * {_BLOCK} + 1 as int), {_BLOCK}), 0, (a, x) -> a + x))"))
-    df = df.withColumn("_b", F.expr("transform(_b, (x, b) -> aggregate(slice(_b, 1, b), 0, (a, y) -> a + y))"))
-    start = f"get(_b, cast(i div {_BLOCK} as int)) + aggregate(slice(_l, cast(i div {_BLOCK} as int) * {_BLOCK} + 1, i % {_BLOCK}), 0, (a, x) -> a + x) + char_length(get(_g, i))"
-    df = df.withColumn(name, F.expr(f"transform(_f, (f, i) -> named_struct('s', {start}, 'm', f, 'g', get(_g, i)))"))
-    df = df.withColumn(name, F.expr(f"transform({name}, x -> named_struct('s', x.s, 'e', x.s + char_length(x.m), 'm', x.m, 'g', x.g))"))
-    return df.drop("_f", "_g", "_l", "_b")
+    lengths = "zip_with(slice(_g, 1, size(_f)), _f, (g, f) -> char_length(g) + char_length(f))"
+    sums = f"transform(sequence(0, size(_f) div {_BLOCK}), b -> aggregate(slice(l, cast(b * {_BLOCK} + 1 as int), {_BLOCK}), 0, (a, x) -> a + x))"
+    before = "transform(u, (x, b) -> aggregate(slice(u, 1, b), 0, (a, y) -> a + y))"
+    start = f"get(b, cast(i div {_BLOCK} as int)) + aggregate(slice(l, cast(i div {_BLOCK} as int) * {_BLOCK} + 1, i % {_BLOCK}), 0, (a, x) -> a + x) + char_length(get(g, i))"
+    spans = f"transform(transform(f, (m, i) -> named_struct('s', {start}, 'm', m, 'g', get(g, i))), x -> named_struct('s', x.s, 'e', x.s + char_length(x.m), 'm', x.m, 'g', x.g))"
+    found = let("f", "_f", let("g", "_g", let("l", lengths, let("u", sums, let("b", before, spans)))))
+    return df.withColumn(name, F.expr(found)).drop("_f", "_g")
 
 
 def _digits(x: str) -> str:
@@ -63,14 +63,14 @@ def _digits(x: str) -> str:
 def _luhn(x: str) -> str:
     """Whether a digit string passes Luhn."""
     value = "cast(substr(reverse(d), i, 1) as int) * (2 - i % 2)"
-    return f"element_at(transform(array({x}), d -> aggregate(transform(sequence(1, greatest(1, char_length(d))), i -> {value}), 0, (a, v) -> a + IF(v > 9, v - 9, v)) % 10 = 0 AND d <> ''), 1)"
+    return let("d", x, f"aggregate(transform(sequence(1, greatest(1, char_length(d))), i -> {value}), 0, (a, v) -> a + IF(v > 9, v - 9, v)) % 10 = 0 AND d <> ''")
 
 
 def _mod97(x: str) -> str:
     """Whether an account number without blanks has remainder 1 when its first four characters move to the end and letters count from 10."""
     code = "ascii(substr(w, i, 1))"
     step = f"IF({code} >= 65, (a * 100 + {code} - 55) % 97, (a * 10 + {code} - 48) % 97)"
-    return f"element_at(transform(array({x}), t -> element_at(transform(array(concat(substr(t, 5), substr(t, 1, 4))), w -> aggregate(sequence(1, greatest(1, char_length(w))), 0, (a, i) -> {step}) = 1), 1)), 1)"
+    return let("t", x, let("w", "concat(substr(t, 5), substr(t, 1, 4))", f"aggregate(sequence(1, greatest(1, char_length(w))), 0, (a, i) -> {step}) = 1"))
 
 
 def _base(df: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def _candidates(df: DataFrame) -> DataFrame:
     for name, (gate, pattern, kinds) in _GENERATORS.items():
         df = _located(df, f"_{name}", gate, pattern)
         codes = ", ".join(str(KINDS.index(k)) for k in kinds)
-        free = f"filter(_{name}, m -> NOT exists(base, b -> b.s < m.e AND m.s < b.e))"
+        free = let("known", "base", f"filter(_{name}, m -> NOT exists(known, b -> b.s < m.e AND m.s < b.e))")
         df = df.withColumn(f"_{name}", F.expr(f"flatten(transform({free}, m -> transform(array({codes}), k -> named_struct('s', m.s, 'e', m.e, 'm', m.m, 'g', m.g, 'k', k))))"))
     df = df.withColumn("cands", F.concat(*[f"_{x}" for x in _GENERATORS])).drop(*[f"_{x}" for x in _GENERATORS])
     return df.withColumn("cands", F.expr(f"transform(cands, c -> named_struct('s', c.s, 'e', c.e, 'k', c.k, 'f', {_features()}))"))
@@ -227,11 +227,12 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", *, training_text
     score, cuts = _model(spark, training_texts, seed)
     inner = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = _candidates(_base(inner))
+    one = "named_struct('s', c.s, 'e', c.e, 'k', c.k)"
     found = found.withColumn("cands", F.expr(f"transform(cands, c -> named_struct('p', {score}, 's', c.s, 'e', c.e, 'k', c.k))"))
     limits = ", ".join(f"{x!r}D" for x in cuts)
     found = found.withColumn("cands", F.expr(f"filter(cands, c -> c.p >= get(array({limits}), c.k))"))
     better = "o.s < c.e AND c.s < o.e AND (o.p > c.p OR (o.p = c.p AND (o.s < c.s OR (o.s = c.s AND o.k < c.k))))"
-    found = found.withColumn("cands", F.expr(f"transform(filter(cands, c -> NOT exists(cands, o -> {better})), c -> named_struct('s', c.s, 'e', c.e, 'k', c.k))"))
+    found = found.withColumn("cands", F.expr(let("all", "cands", f"transform(filter(all, c -> NOT exists(all, o -> {better})), c -> {one})")))
     spans = F.array_sort(F.concat("base", "cands"))
     order = "(x, y) -> CASE WHEN x.s <> y.s THEN sign(x.s - y.s) WHEN x.k <> y.k THEN sign(x.k - y.k) ELSE sign(x.e - y.e) END"
     found = found.withColumn("spans", spans).withColumns({c: F.expr(f"array_sort({c}, (x, y) -> cast(({order[10:]}) as int))") for c in ("base", "spans")})
@@ -246,7 +247,7 @@ def redacted(text_col: str = "text", pii_col: str = "pii") -> Column:
         concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e), 'k', element_at(a, -1).k))), concat(a, array(x))))"""
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
     pieces = f"transform(m, (x, i) -> concat(substr({text_col}, coalesce(get(m, i - 1).e, 0) + 1, x.s - coalesce(get(m, i - 1).e, 0)), get({names}, x.k)))"
-    whole = f"element_at(transform(array({merged}), m -> concat(array_join({pieces}, ''), substr({text_col}, element_at(m, -1).e + 1))), 1)"
+    whole = let("m", merged, f"concat(array_join({pieces}, ''), substr({text_col}, element_at(m, -1).e + 1))")
     return F.expr(f"CASE WHEN size({pii_col}.spans) > 0 THEN {whole} ELSE {text_col} END")
 
 
