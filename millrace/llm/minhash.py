@@ -26,6 +26,8 @@ from .common import WordHashes, hinted, mix64, prepare, settle, shingle_hashes
 from .components import connected_components
 
 BANDS, ROWS = 32, 4
+#: The first star uses only so many bands: they link most copies, and the pairs of the other bands inside a component are then not made.
+FIRST_BANDS = 8
 #: Up to so many ids of candidates (8 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -119,7 +121,7 @@ def _confirm(width: int, percent: int):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75, width: int = 5, bands: int = BANDS, rows: int = ROWS, max_rounds: int = 6
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75, width: int = 5, bands: int = BANDS, rows: int = ROWS, max_rounds: int = 7
 ) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id, kept.
 
@@ -137,7 +139,7 @@ def near_duplicates(
     rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = rows_in.mapInArrow(_sketch(bands, rows, width), "id long, n long, set_key binary, buckets array<long>, sketch binary").checkpoint()
     classes = sketched.where("n > 0 and id is not null").groupBy("set_key").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch"))
-    members = classes.select("node", "n", F.explode("buckets").alias("bucket"))
+    members = classes.select("node", "n", F.posexplode("buckets").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("bucket")
     members, _ = settle(members.join(shared, "bucket"))
     near, n_near = settle(members.select("node").distinct())
@@ -147,10 +149,11 @@ def near_duplicates(
 
     labels, n_labels, tested, n_tested, links = None, 0, None, 0, None
     for turn in range(max_rounds):
-        here = members.withColumn("component", F.col("node"))
+        used = members.where(F.col("band") < FIRST_BANDS) if turn == 0 else members
+        here = used.withColumn("component", F.col("node"))
         if labels is not None:
-            here = members.join(hinted(labels, n_labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        order = F.col("node") if turn == 0 else F.xxhash64("node", "bucket", F.lit(turn))
+            here = used.join(hinted(labels, n_labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        order = F.col("node") if turn < 2 else F.xxhash64("node", "bucket", F.lit(turn))
         centres = (
             here.groupBy("bucket")
             .agg(F.min(F.struct(order.alias("o"), "node", "n", "component")).alias("c"), F.min("component").alias("a"), F.max("component").alias("b"))
@@ -168,7 +171,9 @@ def near_duplicates(
             pairs = pairs.join(hinted(tested, n_tested), ["u", "v"], "left_anti")
         pairs, n_pairs = settle(pairs)
         if not n_pairs:
-            break
+            if turn:
+                break
+            continue
         tested, n_tested = pairs if tested is None else tested.unionByName(pairs), n_tested + n_pairs
         likely = (
             sketches.select(F.col("node").alias("u"), F.col("sketch").alias("a"))
@@ -179,8 +184,10 @@ def near_duplicates(
         )
         likely, n_likely = settle(likely)
         found, n_found = settle(_links(rows_in, likely, n_likely, width, percent))
-        if not n_found and turn:
-            break
+        if not n_found:
+            if turn > 1:
+                break
+            continue
         links = found if links is None else links.unionByName(found)
         labels, n_labels = connected_components(links)
 
