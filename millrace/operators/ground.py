@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, java
+from ..functions.text import WS, java, lit
 
 #: Words that say nothing about a question's subject.
 STOPWORDS = tuple(
@@ -32,6 +32,12 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS)))
 
 
+def terms_sql(text: str) -> str:
+    """``terms`` as SQL."""
+    words = ", ".join(f"'{w}'" for w in STOPWORDS)
+    return f"array_distinct(filter(split(regexp_replace(lower({text}), {lit(rf'[^\p{{L}}\p{{N}}{WS}]')}, ' '), {lit(f'[{WS}]+')}), w -> char_length(w) > 2 AND w NOT IN ({words})))"
+
+
 def wants_long(text: Column) -> Column:
     return text.rlike(java(LONG_REQUEST))
 

@@ -9,14 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 #: Queries are broadcast against all chunks up to this many; a larger batch is an error, to be sent in blocks.
 MOST_QUERIES = 20_000
 
 
-def _d(x: str) -> str:
-    return f"transform({x}, e -> cast(e as double))"
-
-
 def norm(x: str) -> Column:
     return F.sqrt(F.expr(f"aggregate({x}, 0D, (a, e) -> a + cast(e as double) * cast(e as double))"))
 
@@ -33,7 +31,8 @@ def cosine(x: str, y: str) -> Column:
 
 def normalized(x: str) -> Column:
     """The vector at unit length; an error for a zero vector, as it has no direction."""
-    return F.when(norm(x) > 0, F.transform(F.expr(_d(x)), lambda e: e / norm(x))).otherwise(F.raise_error(F.lit("zero vector")).cast("array<double>"))
+    size = f"sqrt(aggregate({x}, 0D, (a, e) -> a + cast(e as double) * cast(e as double)))"
+    return F.expr(let("n", size, f"IF(n > 0, transform({x}, e -> cast(e as double) / n), cast(raise_error('zero vector') as array<double>))"))
 
 
 def is_valid(x: str, dimensions: int) -> Column:

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from . import answer_queries, chunk_queries, text_queries, url_queries, vector_queries
+from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = (text_queries, chunk_queries, url_queries, vector_queries, answer_queries)
+from . import answer_queries, catalog_queries, chunk_queries, engine_queries, text_queries, url_queries, vector_queries
+
+_MODULES = (text_queries, chunk_queries, url_queries, vector_queries, answer_queries, catalog_queries, engine_queries)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch answers: documents are cleaned, chunked and embedded; questions retrieve, pass the grounding gate and cite their sources."""
+    return engine_queries.ask_batch(spark, sf_dir)
 
 
 def queries() -> dict:
