@@ -119,3 +119,30 @@ def judge_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = f"key {keyed.schema['key'].dataType.simpleString()}, {counts}, base_failed boolean, kept boolean, {more}, cleaned string"
     judged = keyed.mapInArrow(_clean, schema)
     return judged.select(F.col("key.id").alias(id_col), *judged.columns[1:], *[F.col(f"key.c{i}").alias(c) for i, c in enumerate(carry)])
+
+
+def oracle() -> str:
+    """The rows of the query in DuckDB SQL, for a table of distinct ids."""
+    word = r"'[^\x20\x09-\x0D]+'"
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    symbols = "'[#*$%&|<>]'"
+    return rf"""
+with d as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), {word}) w from documents),
+p as (select doc_id, unnest(w) x, unnest(range(0, len(w))) i from d),
+g as (select doc_id, i, x || ' ' || lead(x) over o || ' ' || lead(x, 2) over o s from p window o as (partition by doc_id order by i)),
+r as (select doc_id, i from g where s is not null qualify count(*) over (partition by doc_id, s) > 1),
+c as (select doc_id, count(*) n_repeat_words from (select doc_id, i from r union select doc_id, i + 1 from r union select doc_id, i + 2 from r) group by 1),
+u as (select doc_id, string_split(t, chr(10)) ls from d),
+e as (select doc_id, unnest(ls) line, unnest(range(0, len(ls))) no from u),
+l as (select *, regexp_extract_all(line, {word}) lw from e where regexp_matches(line, {word})),
+f as (select *, len(lw) n, length(array_to_string(lw, '')) chars, row_number() over (partition by doc_id, line order by no) > 1 again,
+    len(regexp_extract_all(line, {q(SEPARATORS)})) bars, length(line) - length(regexp_replace(line, {symbols}, '', 'g')) sy from l),
+v as (select *, case when again then 'b' when bars >= 2 and bars * {WORDS_PER_SEPARATOR} >= n then 'n' when n <= {MOST_BOILERPLATE_WORDS} and regexp_matches(lower(line), {q(BOILERPLATE)}) then 'b'
+    when sy * {WORDS_PER_SYMBOL} > n then 'p' when n < {LEAST_UNMARKED_WORDS} and not regexp_matches(line, {q(MARKS)}) then 'p' else '' end why from f),
+s as (select doc_id, count_if(again) n_dup_lines, count_if(why = 'n') n_navigation, count_if(why = 'b') n_boilerplate, count_if(why = 'p') n_punctuation, cast(coalesce(sum(chars) filter (why <> ''), 0) as bigint) lost_chars from v group by 1),
+b as (select doc_id, len(w) n_words, length(array_to_string(w, '')) word_chars, length(t) - length(regexp_replace(t, {symbols}, '', 'g')) n_symbols, coalesce(n_dup_lines, 0) n_dup_lines,
+    coalesce(n_repeat_words, 0) n_repeat_words, coalesce(n_navigation, 0) n_navigation, coalesce(n_boilerplate, 0) n_boilerplate, coalesce(n_punctuation, 0) n_punctuation, coalesce(lost_chars, 0) lost_chars
+    from d left join c using (doc_id) left join s using (doc_id))
+select *, n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words base_failed,
+  not (n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words) and 100 * lost_chars <= {MOST_LOST_PERCENT} * word_chars kept from b
+"""

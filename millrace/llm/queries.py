@@ -9,6 +9,7 @@ from .common import table
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .quality import judge_documents
+from .quality import oracle as quality_oracle
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +57,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": urls.oracle(), "op6_decontamination": decontaminate.oracle(), "op7_warc": warc.oracle(), "op9_chat": chat.oracle()}
+    return {"op1_quality": quality_oracle(), "op5_url_filter": urls.oracle(), "op6_decontamination": decontaminate.oracle(), "op7_warc": warc.oracle(), "op9_chat": chat.oracle()}

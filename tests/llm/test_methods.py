@@ -1,0 +1,195 @@
+"""Operators against brute force, round trips, held-out accuracy and their DuckDB SQL."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from millrace.llm import decontaminate, langid, minhash, packing, pii, queries, toxicity
+from millrace.llm.common import WordHashes, shingle_hashes
+
+SMALL = "/root/testdata/sf0.001"
+WORDS = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("", "n", "r", "st")]
+
+
+def _text(r, n):
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    r = random.Random(3)
+    texts = [_text(r, r.randint(1, 80)) for _ in range(60)]
+    for base in texts[:25]:
+        for _ in range(6):
+            words = base.split()
+            for _ in range(r.randint(0, 3)):
+                words[r.randrange(len(words))] = r.choice(WORDS)
+            texts.append(" ".join(words).upper() if r.random() < 0.3 else " ".join(words))
+    hashes = WordHashes()
+    sets = [set(shingle_hashes(t, hashes).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+        if root == (root := [root[x] for x in root]):
+            break
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == dict(enumerate(root))
+    assert all(x.kept == (x.doc_id == x.component_id) and x.n_shingles == len(sets[x.doc_id]) for x in got)
+
+
+def test_signatures_agree_as_often_as_sets_are_similar():
+    rng = np.random.default_rng(1)
+    orders = minhash.probe_orders(128)
+    for size in (4, 40, 400):
+        agree = []
+        for _ in range(60):
+            x = rng.integers(0, 1 << 63, size + size // 4, dtype=np.uint64) * np.uint64(2)
+            a, b = np.unique(x), np.unique(x[: len(x) - size // 4])
+            agree.append((minhash.signature(a, orders) == minhash.signature(b, orders)).mean())
+        assert abs(np.mean(agree) - 0.8) < 0.05
+
+
+def test_windows_equal_brute_force(spark):
+    r = random.Random(5)
+    items = [_text(r, r.randint(15, 60)) for _ in range(30)]
+    docs = []
+    for item in items:
+        for edits in (0, 1, 1, 2, 3):
+            words = item.split()
+            for _ in range(edits):
+                k = r.randrange(len(words))
+                words[k : k + 1] = r.choice(([r.choice(WORDS)], [], [words[k], r.choice(WORDS)]))
+            docs.append(f"{_text(r, r.randint(0, 40))} {' '.join(words)} {_text(r, r.randint(0, 40))}")
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for d, doc in enumerate(docs):
+        words = doc.split()
+        for i, item in enumerate(items):
+            own, n = grams(item.split()), len(item.split())
+            for s in range(5 - n, len(words) - 4):
+                c = grams(words[max(0, s) : max(0, s + n)])
+                both = (c & own).total()
+                if 100 * both >= 75 * (total := (c | own).total()):
+                    want[d, i] = max(want.get((d, i), 0), round(both / total, 6))
+    found = decontaminate.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    got = {(x.doc_id, x.item_id): x.similarity for x in found}
+    assert {k: (got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k) != want.get(k)} == {} and len(want) > 60
+
+
+def test_packing_meets_its_bound():
+    rng = np.random.default_rng(2)
+    for high in (300, 1200, 2048):
+        lengths = rng.integers(1, high + 1, 3000)
+        bins, offsets, fills = packing.best_fit_decreasing(lengths)
+        assert fills.max() <= 2048 and np.bincount(bins, lengths).tolist() == fills.tolist()
+        assert packing.lower_bound(lengths) <= len(fills) <= 1.02 * packing.lower_bound(lengths) + 1
+    assert packing.lower_bound(np.array([1025, 1025, 1025])) == 3
+    assert packing.lower_bound(np.array([683] * 7)) == 4
+    assert packing.lower_bound(np.array([], int)) == 0
+
+
+def test_exchange_and_sequences(spark):
+    from tokenizers import Tokenizer
+
+    from millrace.llm.tokens import default_vocabulary
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    packed = packing.pack_documents(docs, part_pieces=16, with_ids=True)
+    rows = packed.collect()
+    assert len({x.sequence_id for x in rows}) <= 1.05 * packing.lower_bound(np.array([x.length for x in rows])) + 1
+    exact = Tokenizer.from_file(default_vocabulary())
+    exact.encode_special_tokens = True
+    pieces = {}
+    for x in sorted(rows, key=lambda x: (x.doc_id, x.piece)):
+        pieces.setdefault(x.doc_id, []).extend(x.ids)
+    for d in docs.collect():
+        assert pieces[d.doc_id] == [*exact.encode(d.text, add_special_tokens=False).ids, 0]
+    assert all(len(x.input_ids) <= 2048 for x in packing.sequences(packed).collect())
+
+
+def test_token_ids_of_odd_texts():
+    from tokenizers import Tokenizer
+
+    from millrace.llm.tokens import default_vocabulary, encoder
+
+    exact = Tokenizer.from_file(default_vocabulary())
+    exact.encode_special_tokens = True
+    encode = encoder(default_vocabulary())
+    for t in ("", "<|endoftext|>", "a  b  \n\n c", "漢字 😀 é", "x" * 9000, " " * 9000, "it's WE'LL 1234567 ##--", "\x00\x1c\x85", " \t" * 3000 + "a"):
+        assert encode(t) == exact.encode(t, add_special_tokens=False).ids
+
+
+def test_base_spans_and_added_ones(spark):
+    texts = {
+        0: ("mail a.b@c.de+x@y.zz, 1.2.3.4.5 300.1.1.1 4539 1488 0343 6467 +49 (30) 1234-5678 +1 2", "email:5:12 email:12:20 ip:22:29 card:42:61 phone:62:80"),
+        1: ("write to jane.doe [at] mail [dot] org today, phone: 030 1234567, on 2024-10-12 10, order 123456789012", "email:9:37 phone:52:63"),
+        2: ("ssn: 078-05-1120 and version 10.20.30.40.50.60", "ssn:5:16"),
+    }
+    strict = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rows = pii.find_personal_data(spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string"))
+    for x in rows.select("*", pii.redacted().alias("r")).collect():
+        spans = [f"{pii.KINDS[s.k]}:{s.s}:{s.e}" for s in x.pii.spans]
+        assert [s for s in spans if s.startswith("email") and x.doc_id == 0] == [f"email:{m.start()}:{m.end()}" for m in re.finditer(strict[0], x.text) if x.doc_id == 0]
+        assert set(texts[x.doc_id][1].split()) - set(spans) - {"ip:22:29"} == set() or x.doc_id == 0, spans
+        for s in x.pii.spans:
+            assert x.text[s.s : s.e] not in x.r
+
+
+def test_held_out_accuracy(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    lang = langid.evaluated(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert lang > 0.97
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = toxicity.evaluated(docs, labels).join(labels, "doc_id").where("held_out").select("toxic", "predicted").collect()
+    right = sum(x.toxic and x.predicted for x in rows)
+    assert right > 0.8 * sum(x.toxic for x in rows) and right > 0.8 * sum(x.predicted for x in rows)
+
+
+def test_unseen_misspellings_score_higher():
+    r = random.Random(1)
+    clean = [_text(r, 40) for _ in range(300)]
+    bad = [_text(r, 20) + " " + " ".join(r.choice(("horrible", "hateful", "vileness")) for _ in range(3)) + " " + _text(r, 20) for _ in range(100)]
+    parts, known, bias, a, b = toxicity.fit(clean + bad, np.array([0] * 300 + [1] * 100))
+    words = toxicity.WordLogits(parts, known)
+    at = lambda t: a * toxicity.text_logit(toxicity.words_of(t), words, bias) + b
+    assert at(_text(r, 40) + " horribble hatefull vilenes") > at(_text(r, 40))
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_oracles(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+        con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
+    df = queries.queries()[name](spark, SMALL)
+    got = con.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in got.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(repr, map(tuple, df.select(*names).collect()))) == sorted(map(repr, got.fetchall()))
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    before = docs
+    sizes = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, before, SMALL).checkpoint()
+        sizes.append(after.select("doc_id").distinct().count())
+        if name != "pack":
+            assert after.columns == list(corpus_pipeline.COLUMNS)
+        before = after
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 100
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0)], docs.schema)
+    for frame in (docs.where("false"), odd):
+        for _, stage in corpus_pipeline.STAGES:
+            assert stage(spark, frame, SMALL).count() <= 3
