@@ -1,17 +1,32 @@
-"""A deterministic embedder in SQL: signed feature hashing of content terms. A model-backed one can replace it behind the same signature."""
+"""A deterministic embedder: signed feature hashing of content terms. Terms are found in SQL; the hashing runs in numpy over Arrow batches, as a model would."""
 
 from __future__ import annotations
 
+from zlib import crc32
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import let
 from .ground import terms_sql
 
 
+def hashed(terms: list[str] | None, dimensions: int) -> list[float] | None:
+    """Unit vector in which each term adds +1 or -1 at a hashed place; None without terms or if they cancel out."""
+    if terms is None or not len(terms):
+        return None
+    h = np.fromiter((crc32(t.encode()) for t in terms), np.int64, len(terms))
+    v = np.bincount(h % dimensions, 1.0 - 2 * (h >> 20 & 1), dimensions)
+    size = np.sqrt(v @ v)
+    return (v / size).astype(np.float32) if size else None
+
+
 def embedded(text: str, dimensions: int = 128) -> Column:
-    """Unit vector of a text column's distinct terms, each adding +1 or -1 at a hashed place; null for a text without terms or whose terms cancel out."""
-    places = f"transform({terms_sql(text)}, t -> named_struct('i', cast(pmod(xxhash64(t), {dimensions}) as int), 's', IF(pmod(hash(t), 2) = 0, 1D, -1D)))"
-    raw = f"transform(sequence(0, {dimensions - 1}), k -> aggregate(p, 0D, (a, x) -> a + IF(x.i = k, x.s, 0D)))"
-    unit = let("r", raw, let("n", "sqrt(aggregate(r, 0D, (a, x) -> a + x * x))", "IF(n > 0, transform(r, x -> cast(x / n as float)), NULL)"))
-    return F.expr(let("p", places, unit))
+    """The vector of a text column, null for a text without terms."""
+
+    @F.pandas_udf("array<float>")
+    def unit(terms: pd.Series) -> pd.Series:
+        return pd.Series([hashed(t, dimensions) for t in terms], dtype=object)
+
+    return unit(F.expr(terms_sql(text)))

@@ -63,14 +63,16 @@ def present(term: Column, haystack: Column) -> Column:
 
 
 def absent_terms(asked: DataFrame, corpus: DataFrame, term: str = "term", text: str = "text", most_terms: int = 100_000) -> DataFrame:
-    """Terms that no corpus text contains, case folded: distinct terms are counted, broadcast and matched where the texts are."""
+    """Terms that no corpus text contains, case folded. Terms are runs of letters and digits, so it is enough to look into the corpus's distinct
+    words: those that are words drop out by an equi-join, and only the rest (counted, at most ``most_terms``) are looked for inside words."""
     distinct = asked.select(term).where(F.col(term).isNotNull()).distinct()
     n = distinct.count()
     if n > most_terms:
         raise ValueError(f"{n} distinct terms in one batch; send at most {most_terms}")
-    low = corpus.select(F.lower(text).alias("_low"))
-    found = low.join(F.broadcast(distinct), F.contains("_low", term)).select(term).distinct()
-    return distinct.join(found, term, "left_anti")
+    words = corpus.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))).alias("_word")).distinct()
+    rest = distinct.join(words.withColumnRenamed("_word", term), term, "left_anti")
+    found = words.join(F.broadcast(rest), F.contains("_word", term)).select(term).distinct()
+    return rest.join(found, term, "left_anti")
 
 
 def gate(questions: DataFrame, corpus: DataFrame, ratio: float = 0.5) -> DataFrame:
