@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import duck_tokens, duck_trimmed, duck, java, tokens, trimmed, truncated
 from ..operators import chunk, clean
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 CHUNK, OVERLAP = 128, 24
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def token_count(spark, sf_dir):
