@@ -6,7 +6,9 @@ its own fixed random order, independent between bins (optimal densification), so
 with a chance equal to their Jaccard similarity even when bins outnumber shingles. Bins are joined in bands; equal bands share
 a bucket. Within a bucket candidate edges form a star: every member is paired with one centre, so a bucket of m
 members gives m - 1 pairs. Links are confirmed on full shingle sets. Members whose component still differs from
-that of another member of a bucket meet a new centre in the next round, until a round finds no link.
+that of another member of a bucket meet a new centre in the next round, for some rounds. In buckets that are mixed even then, all pairs
+of different components are compared: such a bucket is cut into cells of two blocks of members, so that a task holds a few hundred signatures or texts
+whatever the bucket's size, and members of its largest component are not paired with one another.
 
 With 32 bands of 4 bins, a pair of similarity 0.75 shares no bucket with probability 5e-6. Before texts are moved,
 a pair is dropped if its signatures agree in a share of bins that is lower than the wanted similarity by 0.2 or more; that is five
@@ -30,6 +32,10 @@ BANDS, ROWS = 32, 4
 FIRST_BANDS = 8
 #: Up to so many ids of candidates (8 bytes each) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Members in a block of a bucket whose pairs are all compared.
+BLOCK = 256
+#: What names a cell: its bucket and two blocks.
+CELL = ["bucket", "x", "y"]
 
 
 def probe_orders(bins: int, seed: int = 7) -> np.ndarray:
@@ -120,6 +126,82 @@ def _confirm(width: int, percent: int):
     return run
 
 
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each cell from batches sorted by it."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
+        starts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for at, end in zip(starts[:-1], starts[1:], strict=True):
+            cell = tuple(keys[:, at].tolist())
+            if held and cell != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+            last = cell
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def _likely_in_cells(least: int, percent: int):
+    """The pairs of a cell's two blocks, or of its one, whose components differ and sizes and sketches allow a link; each in the first bucket that both are in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, x, y), rows in _by_cell(batches):
+            own, node, n, component = (rows.column(c).to_numpy() for c in ("own", "node", "n", "component"))
+            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+            buckets = rows.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+            here = np.arange(len(node))
+            left = here if x == y else here[own == x]
+            right = here if x == y else here[own == y]
+            found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+            for i in left:
+                j = right[right > i] if x == y else right
+                j = j[component[j] != component[i]]
+                j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+                j = j[(sketch[j] == sketch[i]).sum(axis=1) >= least]
+                if len(j):
+                    first = (buckets[j] == buckets[i]).argmax(axis=1)
+                    j = j[buckets[i][first] == bucket]
+                    found.append((np.full(len(j), i), j))
+            i, j = (np.concatenate(k) for k in zip(*found, strict=True))
+            if len(i):
+                out = [np.full(len(i), bucket), np.full(len(i), x), np.full(len(i), y), np.maximum(node[i], node[j]), np.minimum(node[i], node[j]), component[i], component[j]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [*CELL, "u", "v", "a", "b"])
+
+    return run
+
+
+def _confirm_in_cells(width: int, percent: int):
+    """Links among a cell's pairs. Each text is read once a cell, and pairs whose components earlier links of the cell have joined are passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for _, rows in _by_cell(batches):
+            sets, root, found = {}, {}, []
+
+            def top(c, root=root):
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+
+            for u, text in zip(rows.column("u").to_pylist(), rows.column("text"), strict=True):
+                if text.is_valid:
+                    sets[u] = shingle_hashes(text.as_py(), hashes, width)
+            for u, v, a, b in zip(*(rows.column(c).to_pylist() for c in ("u", "v", "a", "b")), strict=True):
+                if v is None or (one := top(a)) == (other := top(b)):
+                    continue
+                both = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+                if 100 * both >= percent * (len(sets[u]) + len(sets[v]) - both):
+                    root[one] = other
+                    found.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75, width: int = 5, bands: int = BANDS, rows: int = ROWS, max_rounds: int = 7
 ) -> DataFrame:
@@ -132,7 +214,8 @@ def near_duplicates(
     their names. An empty table gives an empty result.
 
     Equal sets are collapsed by a 128-bit key before banding, so groups of copies cost one member. At most
-    ``max_rounds`` stars are tried in a bucket; each has a new, hashed centre.
+    ``max_rounds`` stars are tried in a bucket; each has a new, hashed centre. All pairs of different components that then share a bucket
+    are compared, so no link between two members of a bucket depends on the centres.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -191,6 +274,11 @@ def near_duplicates(
         links = found if links is None else links.unionByName(found)
         labels, n_labels = connected_components(links)
 
+    found, n_found = _rest(sketched, rows_in, members, labels, n_labels, tested, n_tested, max_rounds > 1, least, width, percent)
+    if n_found:
+        links = found if links is None else links.unionByName(found)
+        labels, n_labels = connected_components(links)
+
     nodes = sketched.where("n > 0").groupBy("set_key").agg(F.min("id").alias("node"))
     if labels is not None:
         nodes = nodes.join(hinted(labels, n_labels), "node", "left").withColumn("node", F.coalesce("component", "node"))
@@ -210,3 +298,63 @@ def _links(rows_in: DataFrame, pairs: DataFrame, n_pairs: int, width: int, perce
         .select("u", "v", "text", "other")
     )
     return joined.mapInArrow(_confirm(width, percent), "u long, v long")
+
+
+def _rest(
+    sketched: DataFrame, rows_in: DataFrame, members: DataFrame, labels: DataFrame | None, n_labels: int, tested: DataFrame | None, n_tested: int, starred: bool, least: int, width: int, percent: int
+) -> tuple[DataFrame | None, int]:
+    """Links (u, v) among all pairs of different components that share a bucket and were not tested, and their number.
+
+    ``starred`` says that each bucket has had a star, which is all there is to a bucket of two members.
+    """
+    here = members.withColumn("component", F.col("node"))
+    if labels is not None:
+        here = members.join(hinted(labels, n_labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = (
+        here.groupBy("bucket", "component")
+        .agg(F.count("*").alias("k"))
+        .groupBy("bucket")
+        .agg(F.sum("k").alias("m"), F.count("*").alias("components"), F.max(F.struct("k", "component")).alias("most"))
+        .where(f"components > 1 and m > {2 if starred else 1}")
+        .select("bucket", F.col("most.component").alias("main"), F.ceil(F.col("most.k") / BLOCK).alias("n_main"), F.ceil((F.col("m") - F.col("most.k")) / BLOCK).alias("n_rest"))
+    )
+    mixed, n_mixed = settle(mixed)
+    if not n_mixed:
+        return None, 0
+    # Blocks of the largest component are -1, -2, ..., and meet those of the rest, which are 0, 1, ... and meet all.
+    is_main = F.col("component") == F.col("main")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    placed = (
+        here.join(hinted(mixed, n_mixed), "bucket")
+        .withColumn("own", F.when(is_main, -1 - block("n_main")).otherwise(block("n_rest")))
+        .withColumn("first", F.when(is_main, F.lit(0)).otherwise(-F.col("n_main")))
+        .select("bucket", "node", "n", "component", "own", "first", "n_rest")
+    )
+    placed, n_placed = settle(placed)
+    wanted, n_wanted = settle(placed.select("node").distinct())
+    sketches = (
+        sketched.where("n > 0 and id is not null")
+        .withColumnRenamed("id", "node")
+        .join(hinted(wanted, n_wanted), "node", "left_semi")
+        .groupBy("node", "set_key")
+        .agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
+    )
+    cells = (
+        placed.join(sketches, ["node", "n"])
+        .where(F.array_contains("buckets", F.col("bucket")))
+        .withColumn("other", F.explode(F.sequence(F.col("first"), F.col("n_rest") - 1)))
+        .select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "n", "component", "sketch", "buckets")
+    )
+    likely = cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(_likely_in_cells(least, percent), "bucket long, x long, y long, u long, v long, a long, b long")
+    if tested is not None:
+        likely = likely.join(hinted(tested, n_tested), ["u", "v"], "left_anti")
+    likely, n_likely = settle(likely)
+    if not n_likely:
+        return None, 0
+    texts_of = likely.select(*CELL, F.explode(F.array("u", "v")).alias("id")).distinct()
+    needed, n_needed = settle(texts_of.select("id").distinct())
+    texts = rows_in.join(hinted(needed, n_needed, BROADCAST_IDS), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    none = F.lit(None).cast("long")
+    held = texts_of.join(texts, "id").select(*CELL, F.col("id").alias("u"), none.alias("v"), none.alias("a"), none.alias("b"), "text")
+    both = likely.withColumn("text", F.lit(None).cast("string")).select(held.columns).unionByName(held)
+    return settle(both.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(_confirm_in_cells(width, percent), "u long, v long"))

@@ -44,6 +44,21 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(x.kept == (x.doc_id == x.component_id) and x.n_shingles == len(sets[x.doc_id]) for x in got)
 
 
+@pytest.mark.parametrize("block", [256, 20])
+def test_near_duplicates_in_hot_buckets(spark, monkeypatch, block):
+    """Texts that share a long passage but are too unlike to be linked, among them pairs that are linked through more than the passage."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    r = random.Random(8)
+    passage = _text(r, 204)
+    texts = [f"{passage} {_text(r, 40)}" for _ in range(240)]
+    expected = {i: i for i in range(len(texts) + 12)}
+    for i in range(100, 112):
+        expected[len(texts)] = i
+        texts.append(f"{' '.join(texts[i].split()[:-20])} {_text(r, 20)}")
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == expected
+
+
 def test_signatures_agree_as_often_as_sets_are_similar():
     rng = np.random.default_rng(1)
     orders = minhash.probe_orders(128)
