@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat, decontaminate, langid, pii, toxicity, urls, warc
 from .common import table
 from .minhash import near_duplicates
+from .minhash import oracle as near_oracle
 from .packing import pack_documents
 from .quality import judge_documents
 from .quality import oracle as quality_oracle
@@ -57,4 +58,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality_oracle(), "op5_url_filter": urls.oracle(), "op6_decontamination": decontaminate.oracle(), "op7_warc": warc.oracle(), "op9_chat": chat.oracle()}
+    return {"op1_quality": quality_oracle(), "op5_url_filter": urls.oracle(), "op6_decontamination": decontaminate.oracle(), "op7_warc": warc.oracle(), "op9_chat": chat.oracle(), "op10_minhash": near_oracle()}

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import decontaminate, langid, minhash, packing, pii, queries, toxicity
-from millrace.llm.common import WordHashes, shingle_hashes
 
 SMALL = "/root/testdata/sf0.001"
 WORDS = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("", "n", "r", "st")]
@@ -20,6 +19,22 @@ def _text(r, n):
     return " ".join(r.choice(WORDS) for _ in range(n))
 
 
+def _set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def _components(texts):
+    """The smallest place reachable over pairs of similarity 0.75 or more, from all pairs."""
+    sets, of = [_set(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if of[i] != of[j] and 100 * (both := len(a & b)) >= 75 * (len(a) + len(b) - both):
+                low, high = sorted((of[i], of[j]))
+                of = [low if x == high else x for x in of]
+    return dict(enumerate(of))
+
+
 def test_near_duplicates_equal_brute_force(spark):
     r = random.Random(3)
     texts = [_text(r, r.randint(1, 80)) for _ in range(60)]
@@ -29,25 +44,16 @@ def test_near_duplicates_equal_brute_force(spark):
             for _ in range(r.randint(0, 3)):
                 words[r.randrange(len(words))] = r.choice(WORDS)
             texts.append(" ".join(words).upper() if r.random() < 0.3 else " ".join(words))
-    hashes = WordHashes()
-    sets = [set(shingle_hashes(t, hashes).tolist()) for t in texts]
-    root = list(range(len(texts)))
-    for _ in texts:
-        for i, a in enumerate(sets):
-            for j in range(i):
-                if 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
-                    root[i] = root[j] = min(root[i], root[j])
-        if root == (root := [root[x] for x in root]):
-            break
     got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {x.doc_id: x.component_id for x in got} == dict(enumerate(root))
-    assert all(x.kept == (x.doc_id == x.component_id) and x.n_shingles == len(sets[x.doc_id]) for x in got)
+    assert {x.doc_id: x.component_id for x in got} == _components(texts)
+    assert all(x.kept == (x.doc_id == x.component_id) and x.n_shingles == len(_set(texts[x.doc_id])) for x in got)
 
 
-@pytest.mark.parametrize("block", [256, 20])
+@pytest.mark.parametrize("block", [8192, 20])
 def test_near_duplicates_in_hot_buckets(spark, monkeypatch, block):
     """Texts that share a long passage but are too unlike to be linked, among them pairs that are linked through more than the passage."""
-    monkeypatch.setattr(minhash, "BLOCK", block)
+    for name in ("BLOCK", "SET_BLOCK", "STAR"):
+        monkeypatch.setattr(minhash, name, block)
     r = random.Random(8)
     passage = _text(r, 204)
     texts = [f"{passage} {_text(r, 40)}" for _ in range(240)]
@@ -59,6 +65,22 @@ def test_near_duplicates_in_hot_buckets(spark, monkeypatch, block):
     assert {x.doc_id: x.component_id for x in got} == expected
 
 
+@pytest.mark.parametrize("copies", [400, 800])
+def test_many_near_copies_of_one_text(spark, copies):
+    """Many copies of a text of 300 words with 2 to 12 edits each, so that about a third of them are linked only through others or not at all."""
+    r = random.Random(copies)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    base = [r.choice(vocabulary) for _ in range(300)]
+    texts = []
+    for _ in range(copies):
+        words = list(base)
+        for _ in range(r.randint(2, 12)):
+            words[r.randrange(300)] = r.choice(vocabulary)
+        texts.append(" ".join(words))
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == _components(texts)
+
+
 def test_signatures_agree_as_often_as_sets_are_similar():
     rng = np.random.default_rng(1)
     orders = minhash.probe_orders(128)
