@@ -3,15 +3,17 @@
 Method. A word is the bag of its character n-grams (with word boundary marks), hashed into buckets of vectors; a window of words is the average of all their
 vectors; a linear softmax over that average gives the window's logit. Vectors and weights are trained together, so an unseen misspelling
 scores through the n-grams that it shares. Training
-starts from all windows of toxic texts and then takes each one's highest windows. A text is scored like a window made of its three most toxic words, so that a few
-toxic words in a long text are not averaged away, and one chance resemblance does not decide. A logistic curve on the text
-logits, fitted on texts that the vectors were not trained on, gives the score.
+starts from all windows of toxic texts and then takes each one's highest windows. All windows of SCORE_WINDOW words of a text are scored by the softmax of their averaged bags,
+and the text's logit is the mean of its TOP_WINDOWS highest, so that a few toxic words in a long text are not averaged away, and one chance resemblance does not decide. A
+logistic curve on the text logits, fitted on texts that the vectors were not trained on, gives the score.
 
-As the model is linear in the average, each n-gram's part of the logit is one number: scoring is a look-up for each word.
+As the model is linear in the average, each n-gram's part of the logit is one number, and a window's logit is a difference of running sums over words.
+Runs without a blank of over PIECE characters are read as words of PIECE characters that overlap by an n-gram, so every character counts.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +26,12 @@ from .common import is_held_out, prepare
 
 BUCKETS, DIMS, GRAMS = 1 << 16, 10, (3, 5)
 WINDOW, STRIDE = 8, 4
-#: A text is judged by so many of its words, and an n-gram is known from so many training texts on.
-TOP_WORDS, LEAST_TEXTS = 3, 4
-#: Bounds of the training sample: texts of each label, and characters of a text; longer texts are not in the sample.
-SAMPLE_TEXTS, SAMPLE_CHARS = 2000, 6000
+#: A text is judged by so many of its windows of so many words, and an n-gram is known from so many training texts on.
+TOP_WINDOWS, SCORE_WINDOW, LEAST_TEXTS = 5, 3, 4
+#: Bounds of the training sample: texts of each label, characters of a text (longer texts are not in the sample), and windows of a text without toxicity, drawn at random.
+SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_WINDOWS = 2000, 6000, 8
+#: Characters of a piece of a longer word.
+PIECE = 64
 THRESHOLD = 0.3
 _EDGE = b"""'<>*#%&|-_=+~`/\\"""
 #: A-Z to a-z, and sentence marks and brackets to blanks.
@@ -35,7 +39,15 @@ _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\"()[]{}", b"abcdefghi
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return text.encode().translate(_FOLD).split() if text else []
+    """Runs between blanks and sentence marks; a run of over PIECE characters in pieces that overlap by an n-gram less one character."""
+    words = text.encode().translate(_FOLD).split() if text else []
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    step, out = PIECE - GRAMS[1] + 1, []
+    for w in words:
+        run = w.decode()
+        out += [w] if len(run) <= PIECE else [run[i : i + PIECE].encode() for i in range(0, len(run) - GRAMS[1] + 1, step)]
+    return out
 
 
 def grams(word: bytes, buckets: int = BUCKETS) -> list[int]:
@@ -45,34 +57,44 @@ def grams(word: bytes, buckets: int = BUCKETS) -> list[int]:
     core = word.strip(_EDGE).decode().lower()
     if not core:
         return []
-    marked = f"<{core[:64]}>"
+    marked = f"<{core}>"
     parts = {marked} | {marked[i : i + n] for n in range(GRAMS[0], GRAMS[1] + 1) for i in range(len(marked) - n + 1)}
     return sorted([crc32(p.encode()) % buckets for p in parts])
 
 
 class WordLogits(dict):
-    """Word bytes to the average logit of its known n-grams, 0 without any; forgets everything at ``most`` words."""
+    """Word bytes to a row of ``sums`` and ``counts``: the parts of its known n-grams and their number. Kept below ``most`` words by ``trim``."""
 
     def __init__(self, weights: np.ndarray, known: np.ndarray, most: int = 400_000):
         super().__init__()
         self.weights, self.known, self.most = weights.tolist(), known.tolist(), most
+        self.sums, self.counts = array("d"), array("q")
 
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= self.most:
-            self.clear()
+    def __missing__(self, word: bytes) -> int:
         own = [self.weights[g] for g in grams(word, len(self.weights)) if self.known[g]]
-        got = self[word] = sum(own) / len(own) if own else 0.0
+        self.sums.append(sum(own))
+        self.counts.append(len(own))
+        got = self[word] = len(self.sums) - 1
         return got
 
-
-def text_logit(words: list[bytes], logits: WordLogits, bias: float) -> float:
-    """The mean logit of the TOP_WORDS words with the largest averages, missing ones counting as 0, and the bias; of an empty text, the bias."""
-    if not words:
-        return bias
-    got = np.fromiter(map(logits.__getitem__, words), float, len(words))
-    if len(got) > TOP_WORDS:
-        got = np.partition(got, -TOP_WORDS)[-TOP_WORDS:]
-    return float(got.sum() / TOP_WORDS + bias)
+    def trim(self) -> None:
+        """Forget everything beyond ``most`` words."""
+        if len(self.sums) > self.most:
+            self.clear()
+            self.sums, self.counts = array("d"), array("q")
+
+    def text_logit(self, words: list[bytes], bias: float) -> float:
+        """The mean logit of the TOP_WINDOWS highest windows, missing ones counting as the bias; of an empty text, the bias."""
+        if not words:
+            return bias
+        self.trim()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        total, n = (np.concatenate([[0], np.frombuffer(x, t)[at].cumsum()]) for x, t in ((self.sums, np.float64), (self.counts, np.int64)))
+        width = min(SCORE_WINDOW, len(words))
+        got = (total[width:] - total[:-width]) / np.maximum(n[width:] - n[:-width], 1)
+        if len(got) > TOP_WINDOWS:
+            got = np.partition(got, -TOP_WINDOWS)[-TOP_WINDOWS:]
+        return float(got.sum() / TOP_WINDOWS + bias)
 
 
 def _windows(words: list[bytes]) -> list[list[bytes]]:
@@ -128,8 +150,8 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 5) -> tuple[np.ndarray,
     windows, y, owner = [], [], []
     for i in np.flatnonzero(~fold):
         own = _windows(words[i])
-        if not toxic[i] and len(own) > 8:
-            own = [own[k] for k in rng.choice(len(own), 8, replace=False)]
+        if not toxic[i] and len(own) > SAMPLE_WINDOWS:
+            own = [own[k] for k in rng.choice(len(own), SAMPLE_WINDOWS, replace=False)]
         for w in own:
             joined = np.concatenate([ids[x] for x in w])
             if len(joined):
@@ -149,7 +171,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 5) -> tuple[np.ndarray,
         bag.train([windows[i] for i in keep], y[keep], even(y[keep]), rng, 1)
     parts, bias = bag.linear()
     table = WordLogits(parts, known)
-    z = np.array([text_logit(words[i], table, bias) for i in np.flatnonzero(fold)])
+    z = np.array([table.text_logit(words[i], bias) for i in np.flatnonzero(fold)])
     return parts, known, bias, *calibrate(z, toxic[fold].astype(float))
 
 
@@ -158,7 +180,7 @@ def _score(model):
         weights, known, bias, a, b = model.value
         parts = WordLogits(weights, known)
         for batch in batches:
-            z = np.array([text_logit(words_of(t.as_py()), parts, bias) for t in batch.column(1)])
+            z = np.array([parts.text_logit(words_of(t.as_py()), bias) for t in batch.column(1)])
             score = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["key", "score"])
 
@@ -180,7 +202,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs: id_col, score (0 to 1), predicted (1 if score >= threshold, else 0).
 
-    ``labels`` gives ids of docs with labels 0 and 1 to learn from. Null, empty and wordless texts get the score of the bias alone. Whole texts are scored.
+    ``labels`` gives ids of docs with labels 0 and 1 to learn from. Null, empty and wordless texts get the score of the bias alone. Whole texts are scored, words of any length
+    in full; equal scores need no rule.
     Repeated rows score alike, null ids stay null, other columns are ignored, an empty table gives an empty result.
     """
     spark = docs.sparkSession

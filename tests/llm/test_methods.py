@@ -197,10 +197,37 @@ def test_unseen_misspellings_score_higher():
     bad = [_text(r, 20) + " " + " ".join(r.choice(("horrible", "hateful", "vileness")) for _ in range(3)) + " " + _text(r, 20) for _ in range(100)]
     parts, known, bias, a, b = toxicity.fit(clean + bad, np.array([0] * 300 + [1] * 100))
     words = toxicity.WordLogits(parts, known)
-    at = lambda t: a * toxicity.text_logit(toxicity.words_of(t), words, bias) + b
+    at = lambda t: a * words.text_logit(toxicity.words_of(t), bias) + b
     assert at(_text(r, 40) + " horribble hatefull vilenes") > at(_text(r, 40))
 
 
+def test_long_runs_count_to_their_end():
+    for filler in ("x" * 64, "x" * 200, "漢" * 61, "z" * 59):
+        runs = [filler + end for end in ("hateful", "kindly!")]
+        seen = [{g for w in toxicity.words_of(t) for g in toxicity.grams(w)} for t in runs]
+        assert seen[0] != seen[1]
+        text = "".join(w.decode()[: toxicity.PIECE - 4] if i < len(toxicity.words_of(runs[0])) - 1 else w.decode() for i, w in enumerate(toxicity.words_of(runs[0])))
+        assert text == runs[0]
+
+
+def test_window_scores_equal_a_plain_average():
+    """A text's logit against the definition: the softmax logit of each window's averaged vectors, the highest TOP_WINDOWS averaged."""
+    r, rng = random.Random(4), np.random.default_rng(4)
+    vectors, weights = rng.normal(size=(toxicity.BUCKETS, 6)), rng.normal(size=(2, 6))
+    known = rng.random(toxicity.BUCKETS) < 0.6
+    logits = toxicity.WordLogits(vectors @ (weights[1] - weights[0]), known, most=50)
+    for n in (1, 2, 3, 7, 60):
+        words = toxicity.words_of(_text(r, n))
+        own = []
+        for i in range(max(1, n - toxicity.SCORE_WINDOW + 1)):
+            bag = [g for w in words[i : i + toxicity.SCORE_WINDOW] for g in toxicity.grams(w) if known[g]]
+            mean = vectors[bag].mean(axis=0) if bag else np.zeros(6)
+            z = weights @ mean
+            own.append(z[1] - z[0])
+        want = sum(sorted(own)[-toxicity.TOP_WINDOWS :]) / toxicity.TOP_WINDOWS + 0.25
+        assert abs(logits.text_logit(words, 0.25) - want) < 1e-9
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracles(spark, name):
     import duckdb
