@@ -3,7 +3,7 @@
 Method. For each language a suffix automaton of sampled labelled text is built. A text is parsed greedily into phrases, each the longest match
 that occurs in the sample; a text in the sample's language needs fewer, longer phrases. The phrase count times log2 of the sample's length, per
 character, estimates the cross entropy; the least wins. Texts are letters, case folded, with single separators between runs of letters.
-The automaton becomes a table of (state, letter) to next state with the end of a phrase marked, so that numpy parses all segments of a batch of texts, and all languages, in step.
+The automaton becomes a table of (state, letter) to next state with the start of a phrase marked, so that numpy parses all segments of a batch of texts in step. A letter that a sample lacks is a phrase by itself.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .common import is_held_out, prepare
 UNDETERMINED = "und"
 #: Bounds of the sample: documents a language, characters of each, and characters a language.
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 64, 4000, 30_000
+#: Entries of a language's step table (4 bytes each); a larger one is kept as sorted keys.
+DENSE = 1 << 23
 #: Texts are parsed in segments of so many characters, so that long ones bound no batch; each adds one phrase at most.
 SEGMENT = 2048
 
@@ -76,41 +78,63 @@ def automaton(sequence: np.ndarray) -> list[dict[int, int]]:
     return goto
 
 
-def parse_table(goto: list[dict[int, int]], n_codes: int) -> np.ndarray:
-    """Entry state * n_codes + code: twice the next row's place, plus 1 where the letter begins a new phrase."""
-    table = np.full((len(goto), n_codes), -1, np.int64)
-    for s, row in enumerate(goto):
-        for c, t in row.items():
-            table[s, c] = t
-    start = np.maximum(table[0], 0)
-    fails = table < 0
-    return (np.where(fails, start, table) * n_codes * 2 + fails).astype(np.int32).ravel()
+class Parser:
+    """Steps of greedy longest-match parsing against one sample.
 
+    State 0 is between phrases: it is where a parse starts, and where a letter leads that the sample lacks, which is a phrase by itself. The automaton's states follow.
+    Up to DENSE entries the steps are a table of state and letter; a language of many letters has its steps as sorted keys, so that memory grows with the sample alone.
+    """
 
-def phrases(parts: list[np.ndarray], tables: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Phrases of each non-empty part (rows) against each language's table (columns)."""
+    def __init__(self, goto: list[dict[int, int]], n_codes: int, dense: int | None = None):
+        self.n = n_codes
+        start = np.zeros(n_codes, np.int64)
+        for c, t in goto[0].items():
+            start[c] = t + 1
+        if (len(goto) + 1) * n_codes <= (DENSE if dense is None else dense):
+            table = np.tile(start * n_codes * 2 + 1, (len(goto) + 1, 1))
+            for s, row in enumerate(goto, 1):
+                for c, t in row.items():
+                    table[s, c] = (t + 1) * n_codes * 2
+            self.table, self.keys = table.astype(np.int32).ravel(), None
+        else:
+            steps = sorted((s * n_codes + c, t + 1) for s, row in enumerate(goto, 1) for c, t in row.items())
+            self.table, self.keys, self.to, self.start = None, np.array([k for k, _ in steps], np.int64), np.array([t for _, t in steps], np.int32), start.astype(np.int32)
+
+    def step(self, state: np.ndarray, codes: np.ndarray, count: np.ndarray) -> None:
+        """Move every state by its letter, and count where that begins a phrase. A state of the table is a row's place in it."""
+        if self.keys is None:
+            v = self.table.take(state + codes)
+            count += v & 1
+            np.right_shift(v, 1, out=state)
+            return
+        key = state.astype(np.int64) * self.n + codes
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = self.keys[at] == key
+        count += ~known
+        state[:] = np.where(known, self.to[at], self.start[codes])
+
+
+def phrases(parts: list[np.ndarray], parsers: list[Parser]) -> np.ndarray:
+    """Phrases of each non-empty part (rows) against each language (columns)."""
     order = np.argsort([-len(p) for p in parts], kind="stable")
     sizes = np.array([len(parts[i]) for i in order])
     grid = np.zeros((sizes[0], len(parts)), np.int32)
     for k, i in enumerate(order):
         grid[: sizes[k], k] = parts[i]
-    state = np.zeros((len(offsets), len(parts)), np.int32)
-    count = np.ones((len(offsets), len(parts)), np.int32)
+    state, count = (np.zeros((len(parsers), len(parts)), np.int32) for _ in range(2))
     active = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
     for t in range(sizes[0]):
         k = active[t]
-        for row, (offset, own) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-            v = tables[offset:own].take(state[row, :k] + grid[t, :k])
-            count[row, :k] += v & 1
-            np.right_shift(v, 1, out=state[row, :k])
-    out = np.empty((len(parts), len(offsets) - 1), np.int32)
-    out[order] = count[: len(offsets) - 1].T
+        for row, parser in enumerate(parsers):
+            parser.step(state[row, :k], grid[t, :k], count[row, :k])
+    out = np.empty((len(parts), len(parsers)), np.int32)
+    out[order] = count.T
     return out
 
 
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, codes, tables, offsets, bits = model.value
+        langs, codes, parsers, bits = model.value
         for batch in batches:
             n = batch.num_rows
             parts, owner, has, length = [], [], np.zeros(n, bool), np.zeros(n)
@@ -122,7 +146,7 @@ def _predict(model):
                     owner.append(i)
             cost = np.zeros((n, len(langs)))
             if parts and langs:
-                np.add.at(cost, np.array(owner), phrases(parts, tables, offsets))
+                np.add.at(cost, np.array(owner), phrases(parts, parsers))
             cost *= bits / length[:, None]
             if langs:
                 best = cost.argmin(axis=1)
@@ -139,20 +163,22 @@ def _predict(model):
     return run
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", *, docs_a_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS):
-    """Language names, letter codes, parse tables end to end, their offsets, and bits a phrase; from a bounded sample by hashed id."""
-    rows = docs.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, SAMPLE_DOC_CHARS).alias("text"), F.xxhash64(F.col(id_col)).alias("h")).where("lang is not null and text rlike '[^\\\\x00-@\\\\[-`{-\\\\x7f]'")
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", *, docs_a_language: int = SAMPLE_DOCS, doc_chars: int = SAMPLE_DOC_CHARS, chars: int = SAMPLE_CHARS):
+    """Language names, letter codes, parsers, and bits a phrase; from a bounded sample by hashed id.
+
+    A language's sample is at most ``docs_a_language`` documents, of each at most ``doc_chars`` characters from a place that its hash chooses, and of these an equal share of ``chars``.
+    """
+    text = F.col(text_col)
+    spread = F.pmod(F.xxhash64(text), F.greatest(F.lit(1), F.length(text) - doc_chars + 1)).cast("int")
+    rows = docs.where(F.col(lang_col).isNotNull() & text.rlike("[^\\x00-@\\[-`{-\\x7f]")).select(F.col(lang_col).alias("lang"), F.substring(text, spread + 1, F.lit(doc_chars)).alias("text"), F.xxhash64(F.col(id_col)).alias("h"))
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    sample: dict[str, list[str]] = {}
+    sample: dict[str, dict[str, None]] = {}
     for r in rows.withColumn("turn", turn).where(F.col("turn") <= docs_a_language).orderBy("lang", "turn").collect():
-        sample.setdefault(r.lang, []).append(r.text)
-    joined = {k: "\n".join(dict.fromkeys(v))[:chars] for k, v in sorted(sample.items())}
+        sample.setdefault(r.lang, {})[r.text] = None
+    joined = {k: "\n".join(t[: max(1, chars // len(v))] for t in v) for k, v in sorted(sample.items())}
     codes, n = letter_codes(list(joined.values()))
     sequences = [encode(t, codes) for t in joined.values()]
-    tables = [parse_table(automaton(x), n) for x in sequences]
-    offsets = np.cumsum([0, *map(len, tables)])
-    bits = np.array([log2(len(x) + 2) for x in sequences])
-    return list(joined), codes, np.concatenate([*tables, np.empty(0, np.int32)]), offsets, bits
+    return list(joined), codes, [Parser(automaton(x), n) for x in sequences], np.array([log2(len(x) + 2) for x in sequences])
 
 
 def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds) -> DataFrame:
@@ -160,7 +186,7 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
 
     ``labelled`` gives text and language to learn from; rows with a null language or no letter are not used. A text that is null or without a letter gets ``und`` and score 0, as
     do all texts if nothing was learned. Equal costs go to the first language by name. Only the text is used in a prediction. Repeated rows are predicted alike, null ids stay null, other columns
-    are ignored, an empty table gives an empty result. Whole texts are parsed.
+    are ignored, an empty table gives an empty result. Whole texts are parsed, very long ones in segments. ``bounds`` are those of ``learn``.
     """
     spark = docs.sparkSession
     prepare(spark)

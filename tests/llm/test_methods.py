@@ -179,6 +179,36 @@ def test_base_spans_and_added_ones(spark):
             assert x.text[s.s : s.e] not in x.r
 
 
+@pytest.mark.parametrize("dense", [0, 1 << 23])
+def test_phrases_equal_a_naive_parse(dense):
+    """Greedy longest matches found by trying every length, with letters that the sample lacks."""
+    r = random.Random(6)
+    for _ in range(20):
+        sample = "".join(r.choice("abcd ") for _ in range(r.randint(1, 120)))
+        texts = ["".join(r.choice("abcdXY ") for _ in range(r.randint(1, 80))) for _ in range(12)] + ["X", "XX a", sample]
+        codes, n = langid.letter_codes([sample])
+        whole = langid.encode(sample, codes).tolist()
+        parts = [langid.encode(t, codes) for t in texts]
+        want = []
+        for p in map(np.ndarray.tolist, parts):
+            at, count = 0, 0
+            while at < len(p):
+                size = 1
+                while at + size < len(p) and any(whole[i : i + size + 1] == p[at : at + size + 1] for i in range(len(whole))):
+                    size += 1
+                at, count = at + size, count + 1
+            want.append(count)
+        parser = langid.Parser(langid.automaton(np.array(whole)), n, dense)
+        assert (parser.keys is None) == (dense > 0)
+        assert langid.phrases(parts, [parser])[:, 0].tolist() == want
+
+
+def test_equal_costs_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(1, "b", "abc abc"), (2, "a", "abc abc"), (3, None, "abc"), (4, None, "1 2")], "doc_id long, lang string, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, docs).collect()}
+    assert got == {1: ("a", 0.0), 2: ("a", 0.0), 3: ("a", 0.0), 4: ("und", 0.0)}
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
