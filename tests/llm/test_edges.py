@@ -115,11 +115,11 @@ def test_urls_by_shuffle_and_broadcast(spark, monkeypatch, most):
 
 
 def test_contamination(spark, odd, empty, monkeypatch):
-    items = spark.createDataFrame([(1, PROSE), (1, PROSE), (2, "too short"), (3, None), (4, " ".join(f"word{i}" for i in range(1020, 1060)))], "item_id long, text string")
+    items = spark.createDataFrame([(1, PROSE), (1, PROSE), (2, "Jumps, over"), (3, None), (5, " "), (6, "too short"), (4, " ".join(f"word{i}" for i in range(1020, 1060)))], "item_id long, text string")
     for most in (0, 10_000):
         monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", most)
         got = sorted((r.doc_id or 0, r.item_id, r.similarity, r.start) for r in decontaminate.contaminated(odd, items).collect())
-        assert got == [(0, 1, 1.0, 0), (4, 1, 1.0, 0), (5, 1, 1.0, 0), (6, 4, 1.0, 1020)]
+        assert got == [(0, 1, 1.0, 0), (0, 2, 1.0, 4), (4, 1, 1.0, 0), (4, 2, 1.0, 4), (5, 1, 1.0, 0), (5, 2, 1.0, 4), (6, 4, 1.0, 1020)]
     assert decontaminate.contaminated(empty, items).count() == 0
     assert decontaminate.contaminated(odd, items.where("false")).count() == 0
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -120,6 +121,36 @@ def test_windows_equal_brute_force(spark):
     assert {k: (got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k) != want.get(k)} == {} and len(want) > 60
 
 
+def test_windows_meet_items_by_blocks(spark):
+    """Of edited passages at a similarity of 0.75 to 0.85, how many share a block and lie within the radius; and how many unlike windows meet."""
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(50_000)}"
+    rows = []
+    for k in range(600):
+        words = [word() for _ in range(r.randint(20, 90))]
+        other = list(words)
+        if r.random() < 0.5:
+            cut = max(1, len(words) // 8)
+            other[-cut:] = [word() for _ in range(cut)]
+        else:
+            other[r.randrange(len(words))] = word()
+        rows.append((k, " ".join(words), " ".join(other)))
+    table = spark.createDataFrame(rows, "k int, a string, b string").withColumns({"fa": decontaminate.simhash("a"), "fb": decontaminate.simhash("b")})
+    table = table.withColumn("fc", F.lead("fb", 1).over(Window.orderBy("k")))
+    meet = lambda x: F.exists(F.arrays_zip(decontaminate.blocks("fa").alias("x"), decontaminate.blocks(x).alias("y")), lambda z: z["x"]["bits"] == z["y"]["bits"]).cast("int")
+    near, found, unlike, within = table.select(F.avg(meet("fb")), F.avg(((decontaminate.distance("fa", "fb") <= decontaminate.RADIUS) & (meet("fb") == 1)).cast("int")), F.avg(meet("fc")), F.avg((decontaminate.distance("fa", "fc") <= decontaminate.RADIUS).cast("int"))).first()
+    assert near > 0.995 and found > 0.995 and unlike < 0.25 and within < 0.01
+
+
+@pytest.mark.parametrize("n", [1, 5, 127, 128, 700])
+def test_fingerprints_equal_a_plain_count(spark, n):
+    words = _text(random.Random(n), n)
+    hashes = spark.createDataFrame([(w,) for w in words.split()], "w string").select(*[F.expr(f"xxhash64(w, {k})") for k in range(4)]).collect()
+    want = [sum(1 << b for b in range(64) if 2 * sum(h[k] >> b & 1 for h in hashes) > n) for k in range(4)]
+    got = spark.createDataFrame([(words,)], "w string").select(decontaminate.simhash("w")).first()[0]
+    assert [x % (1 << 64) for x in got] == want
+
+
 def test_packing_meets_its_bound():
     rng = np.random.default_rng(2)
     for high in (300, 1200, 2048):
