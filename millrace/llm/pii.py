@@ -1,9 +1,10 @@
 """Personal data in texts: strict formats, and boosted trees over high-recall candidates. DataFrame operations only.
 
 Base kinds are found by format and checked (address parts, Luhn digits, digit counts). Beyond them, generators
-propose overlapping candidate spans with a kind: digit groups as phone, card or ssn, bracketed addresses as email, account numbers as iban. Format and context
-features of each candidate go through gradient-boosted trees, written out as SQL; a candidate is selected when its
-calibrated probability reaches its kind's threshold. Candidates that overlap a base span are dropped, and of overlapping selected ones the most probable stays.
+propose overlapping candidate spans with a kind: digit groups as phone, card or ssn, bracketed addresses as email, account numbers as iban; long runs with a digit, values
+assigned to names like token or password, keys with a known prefix and private-key blocks as secret. Features of format, entropy and both contexts
+of each candidate go through gradient-boosted trees, written out as SQL; a candidate is selected when its
+calibrated probability reaches its kind's threshold. Candidates that overlap a base span are dropped, and so are selected ones inside a longer selected one; what overlaps in part stays.
 
 No table labels personal data, so the trees are fitted on TRAINING_TEXTS generated sentences (a fixed bound) that pass through the same SQL
 features; a third of them calibrates the probabilities and sets each kind's threshold at a precision of 0.99 or more.
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from .boosting import calibrate, fit
 from .common import let, prepare
 
-KINDS = ("email", "ip", "card", "phone", "ssn", "iban")
-TRAINING_TEXTS, SEED = 3000, 11
+KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret")
+TRAINING_TEXTS, SEED = 4000, 11
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 #: kind: (a cheap test of the whole text, what to find). Possessive forms and the start conditions keep matching linear; they find what the plain forms find.
 _BASE = {
@@ -32,14 +33,18 @@ _BASE = {
 }
 _GENERATORS = {
     "digits": (r"[0-9][ ().\-/]{0,2}[0-9]", r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[ ().\-/]{0,2}[0-9]){6,30}(?![0-9A-Za-z])", ("phone", "card", "ssn")),
+    "groups": (r"[0-9]{3}[ .)-]{1,2}[0-9]{2}", r"(?<![0-9A-Za-z])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])", ("phone", "ssn")),
     "address": (r"[\[({<] ?(?:at|AT|@) ?[\])}>]", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({<] ?(?:at|AT|@) ?[\])}>] ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[({<] ?(?:dot|DOT|\.) ?[\])}>]|\.) ?[A-Za-z0-9-]{2,63}+){1,4}+", ("email",)),
     "account": (r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", ("iban",)),
+    "run": (r"[A-Za-z][0-9]|[0-9][A-Za-z_]", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}", ("secret",)),
+    "assigned": (r"(?i)(?:pass|pwd|secret|token|key|auth)", r"(?i)(?<![a-z0-9])(?:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|access|secret|private)[_ -]?key|auth)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?[^\s\"'<>]{6,}+", ("secret",)),
+    "marked": (r"AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza|eyJ|PRIVATE KEY", r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)?)|-----BEGIN (?:[A-Z]++ ){0,4}?PRIVATE KEY-----[^-]*+(?:-----END (?:[A-Z]++ ){0,4}?PRIVATE KEY-----)?", ("secret",)),
 }
 _BLOCK = 256
 
 
 def _located(df: DataFrame, name: str, gate: str, pattern: str) -> DataFrame:
-    """Add ``name``: the leftmost non-overlapping matches as (s, e, m, g): start, end (code points), match, and the text between it and the one before.
+    """Add ``name``: the leftmost non-overlapping matches as (s, e, m, g, r): start, end (code points), match, and up to 40 and 24 characters of the text between it and the matches before and after.
 
     Starts are sums of lengths, taken in blocks, so a text of many matches costs far less than their square.
     """
@@ -51,7 +56,8 @@ def _located(df: DataFrame, name: str, gate: str, pattern: str) -> DataFrame:
     sums = f"transform(sequence(0, size(_f) div {_BLOCK}), b -> aggregate(slice(l, cast(b * {_BLOCK} + 1 as int), {_BLOCK}), 0, (a, x) -> a + x))"
     before = "transform(u, (x, b) -> aggregate(slice(u, 1, b), 0, (a, y) -> a + y))"
     start = f"get(b, cast(i div {_BLOCK} as int)) + aggregate(slice(l, cast(i div {_BLOCK} as int) * {_BLOCK} + 1, i % {_BLOCK}), 0, (a, x) -> a + x) + char_length(get(g, i))"
-    spans = f"transform(transform(f, (m, i) -> named_struct('s', {start}, 'm', m, 'g', get(g, i))), x -> named_struct('s', x.s, 'e', x.s + char_length(x.m), 'm', x.m, 'g', x.g))"
+    near = "'g', right(get(g, i), 40), 'r', left(get(g, i + 1), 24)"
+    spans = f"transform(transform(f, (m, i) -> named_struct('s', {start}, 'm', m, {near})), x -> named_struct('s', x.s, 'e', x.s + char_length(x.m), 'm', x.m, 'g', x.g, 'r', x.r))"
     found = let("f", "_f", let("g", "_g", let("l", lengths, let("u", sums, let("b", before, spans)))))
     return df.withColumn(name, F.expr(found)).drop("_f", "_g")
 
@@ -88,8 +94,10 @@ def _base(df: DataFrame) -> DataFrame:
 
 
 def _features() -> str:
-    """SQL of the feature array of a candidate c (s, e, m, g, k)."""
-    near = "right(lower(c.g), 32)"
+    """SQL of the feature array of a candidate c (s, e, m, g, r, k)."""
+    near = "lower(c.g)"
+    secret = lambda x: f"IF(c.k = {KINDS.index('secret')}, {x}, 0D)"
+    entropy = let("l", "split(left(c.m, 256), '')", "aggregate(array_distinct(l), 0D, (a, x) -> a - size(filter(l, y -> y = x)) * ln(size(filter(l, y -> y = x)) / size(l)) / size(l))")
     flag = lambda x: f"IF({x}, 1D, 0D)"
     count = lambda p: f"cast(regexp_count(c.m, r'{p}') as double)"
     return "array(" + ", ".join([
@@ -111,6 +119,19 @@ def _features() -> str:
         flag(r"c.m rlike r'^(?:[12][0-9]{3}[./-][0-9]{1,2}[./-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][12][0-9]{3})'"),
         "cast(coalesce(try_cast(substr(c.m, 1, 1) as int), 10) as double)",
         flag(r"c.m rlike r'[\[({<] ?(?:dot|DOT) ?[\])}>]|\.'"),
+        flag(r"c.r rlike r'^ ?(?:[%€$£°]|(?:kg|km|cm|mm|euros?|dollars?|usd|eur|pages?|times|years?)\b)'"),
+        secret(entropy),
+        secret("cast(least(char_length(c.m), 200) as double)"),
+        secret("cast(regexp_count(c.m, r'[0-9][A-Za-z]|[A-Za-z][0-9]|[a-z][A-Z]|[A-Z][a-z]') as double)"),
+        secret(flag(r"c.m rlike r'^(?:[0-9a-f]+|[0-9A-F]+)$'")),
+        secret(flag(r"c.m rlike r'^(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza|eyJ|-----BEGIN)'")),
+        secret(flag(r"c.m rlike r'[=:]'")),
+        secret(flag(r"c.m rlike r'[A-Za-z]{5}[_/-][A-Za-z0-9]|[_/-][A-Za-z]{5}'")),
+        secret(flag(f"""{near} rlike r'(?:token|secret|passw(?:or)?d|passwd|pwd|passphrase|(?:api|access|secret|private|auth)[_ -]?key|auth(?:orization)?|bearer|credentials?)[^a-z0-9]*(?:(?:is|was|bearer|:|=)[^a-z0-9]*)*$'""")),
+        secret(flag(f"""{near} rlike r'(?:commit|sha-?(?:1|256|512)?|md5|hash|digest|checksum|uuid|etag|revision|rev|blob|object|file|image|version|build|see|page|id)[^a-z0-9]*$'""")),
+        secret(flag(f"""{near} rlike r'[/.@?&#]$'""")),
+        secret(flag("""c.r rlike r'^[./@?&][A-Za-z0-9]'""")),
+        secret(flag(r"c.g rlike r'[=:][ \t]*[^A-Za-z0-9 ]?$'")),
     ]) + ")"
 
 
@@ -120,7 +141,7 @@ def _candidates(df: DataFrame) -> DataFrame:
         df = _located(df, f"_{name}", gate, pattern)
         codes = ", ".join(str(KINDS.index(k)) for k in kinds)
         free = let("known", "base", f"filter(_{name}, m -> NOT exists(known, b -> b.s < m.e AND m.s < b.e))")
-        df = df.withColumn(f"_{name}", F.expr(f"flatten(transform({free}, m -> transform(array({codes}), k -> named_struct('s', m.s, 'e', m.e, 'm', m.m, 'g', m.g, 'k', k))))"))
+        df = df.withColumn(f"_{name}", F.expr(f"flatten(transform({free}, m -> transform(array({codes}), k -> named_struct('s', m.s, 'e', m.e, 'm', m.m, 'g', m.g, 'r', m.r, 'k', k))))"))
     df = df.withColumn("cands", F.concat(*[f"_{x}" for x in _GENERATORS])).drop(*[f"_{x}" for x in _GENERATORS])
     return df.withColumn("cands", F.expr(f"transform(cands, c -> named_struct('s', c.s, 'e', c.e, 'k', c.k, 'f', {_features()}))"))
 
@@ -144,11 +165,14 @@ def _training_texts(n: int, seed: int) -> list[tuple[str, int, int, int]]:
 
     area = lambda: r.choice("23456789") + num(2)
     near = {"phone": ["call", "phone:", "Tel.", "mobile", "fax", "my number is phone", "téléphone", "Handy"], "card": ["card", "visa", "credit card number:", "Karte"], "ssn": ["ssn", "SSN:", "social security number"]}
+    hexed = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+    mixed = lambda k: r.choice("abcxyz") + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k - 2)) + r.choice("0123456789")
+    random_run = lambda: r.choice([hexed(32), hexed(40), hexed(40).upper(), hexed(64), mixed(r.randint(18, 44)), mixed(20) + "/" + mixed(19), mixed(24) + "-" + mixed(12)])
     other = ["order", "invoice no.", "isbn", "version", "serial number", "ref:", "case", "id", "in", "the", "total", "item #", "about", ""]
     out = []
     for _ in range(n):
         kind, before = -1, r.choice([*other, word(), word()])
-        match r.randrange(16):
+        match r.randrange(23):
             case 0:
                 kind, item = 3, r.choice([f"({area()}) {num(3)}-{num(4)}", f"{area()}-{num(3)}-{num(4)}", f"{area()}.{num(3)}.{num(4)}"])
             case 1:
@@ -176,12 +200,28 @@ def _training_texts(n: int, seed: int) -> list[tuple[str, int, int, int]]:
                 item = " ".join(num(r.randint(1, 3)) for _ in range(r.randint(4, 8)))
             case 13:
                 item = f"{num(r.randint(1, 4))}.{num(r.randint(4, 9))}"
+            case 15 | 16:
+                name = r.choice(["token", "TOKEN", "secret", "api_key", "apikey", "access_key", "password", "auth_token", "client_secret", "AWS_SECRET_ACCESS_KEY", "private key", "Bearer", "credentials"])
+                value = random_run()
+                mark, quote = r.choice([" = ", "=", ": ", ": ", " "]), r.choice(['"', "'", "", '"'])
+                kind, before, item = 6, (word() + " " if r.random() < 0.5 else "") + name + mark + quote, value + "\0" + quote
+            case 17 | 22:
+                kind, item = 6, r.choice([f"AKIA{mixed(18).upper()[2:]}", f"ghp_{mixed(36)}", f"sk-{mixed(40)}", f"xoxb-{num(11)}-{mixed(24)}", f"AIza{mixed(35)}", f"eyJ{mixed(30)}.eyJ{mixed(60)}.{mixed(43)}", "-----BEGIN {0}PRIVATE KEY-----\n{1}\n-----END {0}PRIVATE KEY-----".format(r.choice(["", "RSA ", "EC ", "OPENSSH "]), mixed(r.randint(6, 200)))])
+            case 18:
+                before, item = r.choice(["commit", "sha256:", "md5", "checksum", "revision", "digest:", "etag", "hash"]), r.choice([hexed(32), hexed(40), hexed(64)])
+            case 19:
+                before, item = r.choice(["see", "file", "uuid", "page", "", word(), "http://" + word() + ".org/" + word() + "/"]), r.choice(["-".join([hexed(8), hexed(4), hexed(4), hexed(4), hexed(12)]), f"{word()}-{word()}-{word()}-{word()}-{r.randint(1, 2030)}", f"{word()}_{word()}_{word()}_{num(4)}_{word()}", f"{r.randint(1990, 2030)}/{num(2)}/{num(2)}/{word()}-{word()}-{word()}", word() * 4 + num(2)])
+            case 20:
+                before, item = r.choice(["token", "secret", "password", "auth", "api key"]) + r.choice([": ", " = ", " is "]), r.choice([word() + word(), f"{word()} {word()}", "required " + word(), f"{word()}-{word()}"])
+            case 21:
+                before, item = r.choice([word(), "the"]), r.choice(["a" * r.randint(10, 30) + num(1), num(1) * r.randint(16, 40) + "x", f"{word()}{word()}{word()}{word()}{num(1)}"])
             case 14:
                 item = ".".join(num(r.randint(1, 2)) for _ in range(r.randint(5, 7)))
             case _:
                 item = f"{word()} (at) {word()} {word()}"
-        left = " ".join(word() for _ in range(r.randint(2, 8))) + (" " + before if before else "") + " "
-        out.append((left + item + " " + " ".join(word() for _ in range(r.randint(1, 5))), kind, len(left), len(left) + len(item)))
+        left = " ".join(word() for _ in range(r.randint(2, 8))) + (" " + before if before else "") + ("" if before[-1:] in "=\"'/ " and before else " ")
+        item, _, close = item.partition("\0")
+        out.append((left + item + close + " " + " ".join(word() for _ in range(r.randint(1, 5))), kind, len(left), len(left) + len(item)))
     return out
 
 
@@ -195,7 +235,7 @@ def _model(spark: SparkSession, texts: int, seed: int) -> tuple[str, list[float]
         found = _candidates(_base(rows)).select("i", F.explode("cands").alias("c"), "kind", "a", "b").select("i", "c.k", "c.f", F.expr("c.k = kind AND c.s < b AND a < c.e").alias("y")).orderBy("i", "c.k", "c.s").collect()
         x, y, k = np.array([r.f for r in found]), np.array([float(r.y) for r in found]), np.array([r.k for r in found])
         held = np.array([r.i % 3 == 0 for r in found])
-        start, trees = fit(x[~held], y[~held])
+        start, trees = fit(x[~held], y[~held], trees=48)
         z = start + sum(t.predict(x) for t in trees)
         a, b = calibrate(z[held], y[held])
         p = 1 / (1 + np.exp(-(a * z + b)))
@@ -219,7 +259,8 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", *, training_text
     """The input rows and columns with ``pii``: a struct of base and spans (arrays of s, e, k by start, then kind) and n_email, n_ip, n_card, n_phone.
 
     s and e count code points, e exclusive; k is the place in KINDS. spans holds all base spans and the selected candidates. Counts are of base spans.
-    A null or empty text has none. Rows are judged alone, so ties, repeated rows and an empty table need no rule; input
+    A null or empty text has none. Of selected candidates at the same place the most probable stays, then the first kind. Very long texts are searched whole. Rows are judged alone,
+    so repeated rows and an empty table need no rule; input
     columns keep their names (an input column ``pii`` is replaced).
     """
     spark = docs.sparkSession
@@ -231,8 +272,8 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", *, training_text
     found = found.withColumn("cands", F.expr(f"transform(cands, c -> named_struct('p', {score}, 's', c.s, 'e', c.e, 'k', c.k))"))
     limits = ", ".join(f"{x!r}D" for x in cuts)
     found = found.withColumn("cands", F.expr(f"filter(cands, c -> c.p >= get(array({limits}), c.k))"))
-    better = "o.s < c.e AND c.s < o.e AND (o.p > c.p OR (o.p = c.p AND (o.s < c.s OR (o.s = c.s AND o.k < c.k))))"
-    found = found.withColumn("cands", F.expr(let("all", "cands", f"transform(filter(all, c -> NOT exists(all, o -> {better})), c -> {one})")))
+    better = "o.s <= c.s AND c.e <= o.e AND (o.e - o.s > c.e - c.s OR o.p > c.p OR (o.p = c.p AND o.k < c.k))"
+    found = found.withColumn("cands", F.expr(let("all", "array_distinct(cands)", f"transform(filter(all, c -> NOT exists(all, o -> {better})), c -> {one})")))
     spans = F.array_sort(F.concat("base", "cands"))
     order = "(x, y) -> CASE WHEN x.s <> y.s THEN sign(x.s - y.s) WHEN x.k <> y.k THEN sign(x.k - y.k) ELSE sign(x.e - y.e) END"
     found = found.withColumn("spans", spans).withColumns({c: F.expr(f"array_sort({c}, (x, y) -> cast(({order[10:]}) as int))") for c in ("base", "spans")})
@@ -252,6 +293,6 @@ def redacted(text_col: str = "text", pii_col: str = "pii") -> Column:
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The contract's columns: id, base counts, the digest of base spans, and all spans as text."""
+    """The contract's columns: id, base counts, the digest of base spans, all spans as text, and how many secrets and spans there are."""
     base = F.sha2(_joined("pii.base"), 256)
-    return found.select(id_col, *[f"pii.n_{k}" for k in _BASE], base.alias("base_sha256"), _joined("pii.spans").alias("spans"))
+    return found.select(id_col, *[f"pii.n_{k}" for k in _BASE], base.alias("base_sha256"), _joined("pii.spans").alias("spans"), F.expr(f"cast(size(filter(pii.spans, x -> x.k = {KINDS.index('secret')})) as bigint)").alias("n_secret"), F.size("pii.spans").cast("long").alias("n_spans"))
