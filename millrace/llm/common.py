@@ -20,10 +20,12 @@ _MIX_2 = np.uint64(0x94D049BB133111EB)
 def prepare(spark: SparkSession) -> None:
     """Make checkpoint() usable and keep Arrow batches small enough for very long texts.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``; only where that is unset (as in tests)
-    is a temporary folder used.
+    The cluster names its shared folder in ``spark.checkpoint.dir``. Where that is unset a local session (as in tests) gets a temporary folder, and any other master
+    an error, as executors would not see the driver's folder. Two Arrow settings are lowered for the session: the plans that need them run later.
     """
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
         value = spark.conf.get(key, None)

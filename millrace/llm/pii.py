@@ -13,6 +13,8 @@ features; a third of them calibrates the probabilities and sets each kind's thre
 from __future__ import annotations
 
 import random
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,20 +38,20 @@ _GENERATORS = {
     "groups": (r"[0-9]{3}[ .)-]{1,2}[0-9]{2}", r"(?<![0-9A-Za-z])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])", ("phone", "ssn")),
     "address": (r"[\[({<] ?(?:at|AT|@) ?[\])}>]", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({<] ?(?:at|AT|@) ?[\])}>] ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[({<] ?(?:dot|DOT|\.) ?[\])}>]|\.) ?[A-Za-z0-9-]{2,63}+){1,4}+", ("email",)),
     "account": (r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", ("iban",)),
-    "run": (r"[A-Za-z][0-9]|[0-9][A-Za-z_]", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}", ("secret",)),
-    "assigned": (r"(?i)(?:pass|pwd|secret|token|key|auth)", r"(?i)(?<![a-z0-9])(?:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|access|secret|private)[_ -]?key|auth)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?[^\s\"'<>]{6,}+", ("secret",)),
-    "marked": (r"AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza|eyJ|PRIVATE KEY", r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)?)|-----BEGIN (?:[A-Z]++ ){0,4}?PRIVATE KEY-----[^-]*+(?:-----END (?:[A-Z]++ ){0,4}?PRIVATE KEY-----)?", ("secret",)),
+    "run": (r"[0-9](?:(?<=[A-Za-z+/_-][0-9])|(?=[A-Za-z+/_-]))", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}", ("secret",)),
+    "assigned": (r"[=:][ \t]{0,3}[\"']?[^\s\"'<>]{6}", r"(?i)(?<![a-z0-9])(?:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|access|secret|private)[_ -]?key|auth)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?[^\s\"'<>]{6,}+", ("secret",)),
+    "marked": (("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "AIza", "eyJ", "PRIVATE KEY"), r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)?)|-----BEGIN (?:[A-Z]++ ){0,4}?PRIVATE KEY-----[^-]*+(?:-----END (?:[A-Z]++ ){0,4}?PRIVATE KEY-----)?", ("secret",)),
 }
 _BLOCK = 256
 
 
-def _located(df: DataFrame, name: str, gate: str, pattern: str) -> DataFrame:
+def _located(df: DataFrame, name: str, gate: str | tuple[str, ...], pattern: str) -> DataFrame:
     """Add ``name``: the leftmost non-overlapping matches as (s, e, m, g, r): start, end (code points), match, and up to 40 and 24 characters of the text between it and the matches before and after.
 
-    Starts are sums of lengths, taken in blocks, so a text of many matches costs far less than their square.
+    ``gate`` is a pattern that starts with one class of characters, or strings one of which a match holds; only texts with it are searched. Starts are sums of lengths, taken in blocks, so a text of many matches costs far less than their square.
     """
     p, none = F.lit(pattern), F.expr("cast(array() as array<string>)")
-    has = F.col("text").rlike(gate)
+    has = F.col("text").rlike(gate) if isinstance(gate, str) else reduce(or_, [F.col("text").contains(x) for x in gate])
     df = df.withColumn("_f", F.when(has, F.regexp_extract_all("text", p, F.lit(0))).otherwise(none))
     df = df.withColumn("_g", F.when(F.size("_f") > 0, F.split("text", pattern, -1)).otherwise(none))
     lengths = "zip_with(slice(_g, 1, size(_f)), _f, (g, f) -> char_length(g) + char_length(f))"
