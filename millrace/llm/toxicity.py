@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .boosting import calibrate
-from .common import is_held_out, prepare
+from .common import is_held_out, mix64, prepare
 
 BUCKETS, DIMS, GRAMS = 1 << 16, 10, (3, 5)
 WINDOW, STRIDE = 8, 4
@@ -33,6 +34,7 @@ SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_WINDOWS = 2000, 6000, 8
 #: Characters of a piece of a longer word.
 PIECE = 64
 THRESHOLD = 0.3
+_PRIME = np.uint64(0x100000001B3)
 _EDGE = b"""'<>*#%&|-_=+~`/\\"""
 #: A-Z to a-z, and sentence marks and brackets to blanks.
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\"()[]{}", b"abcdefghijklmnopqrstuvwxyz" + b" " * 13)
@@ -50,46 +52,70 @@ def words_of(text: str | None) -> list[bytes]:
     return out
 
 
-def grams(word: bytes, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of a word's n-grams: letters lower-cased, punctuation at its ends dropped; none if nothing remains."""
-    from zlib import crc32
+def gram_table(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-gram buckets of words, and the place of the word that each belongs to; sorted by both.
 
-    core = word.strip(_EDGE).decode().lower()
-    if not core:
-        return []
-    marked = f"<{core}>"
-    parts = {marked} | {marked[i : i + n] for n in range(GRAMS[0], GRAMS[1] + 1) for i in range(len(marked) - n + 1)}
-    return sorted([crc32(p.encode()) % buckets for p in parts])
+    A word's letters are lower-cased and punctuation at its ends is dropped; the n-grams include boundary marks, and the whole word counts as one. Nothing remains of punctuation alone.
+    """
+    marked = [f"<{core}>" if (core := w.strip(_EDGE).decode().lower()) else "" for w in words]
+    code = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    owner, ends = np.repeat(np.arange(len(words)), sizes), np.repeat(sizes.cumsum(), sizes)
+    at, found = np.arange(len(code)), []
+    h = code.copy()
+    for n in range(2, GRAMS[1] + 1):
+        h = h[:-1] * _PRIME + code[n - 1 :] if len(h) else h
+        if n >= GRAMS[0]:
+            here = at[: len(h)] + n <= ends[: len(h)]
+            found.append((owner[: len(h)][here], mix64(h[here] + np.uint64(n))))
+    full = sizes > 0
+    if full.any():
+        starts = (sizes.cumsum() - sizes)[full]
+        place = (at - np.repeat(sizes.cumsum() - sizes, sizes)).astype(np.uint64)
+        found.append((np.flatnonzero(full), mix64(np.add.reduceat(mix64(code * _PRIME + place), starts))))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    of, hashed = (np.concatenate(x) for x in zip(*found, strict=True))
+    keys = np.unique(of * buckets + (hashed % np.uint64(buckets)).astype(np.int64))
+    return keys % buckets, keys // buckets
+
+
+def grams(word: bytes) -> list[int]:
+    """The n-gram buckets of one word."""
+    return gram_table([word])[0].tolist()
 
 
 class WordLogits(dict):
-    """Word bytes to a row of ``sums`` and ``counts``: the parts of its known n-grams and their number. Kept below ``most`` words by ``trim``."""
+    """Word bytes to a row of ``sums`` and ``counts``: the parts of its known n-grams and their number. Forgets everything beyond ``most`` words between batches."""
 
     def __init__(self, weights: np.ndarray, known: np.ndarray, most: int = 400_000):
         super().__init__()
-        self.weights, self.known, self.most = weights.tolist(), known.tolist(), most
-        self.sums, self.counts = array("d"), array("q")
-
-    def __missing__(self, word: bytes) -> int:
-        own = [self.weights[g] for g in grams(word, len(self.weights)) if self.known[g]]
-        self.sums.append(sum(own))
-        self.counts.append(len(own))
-        got = self[word] = len(self.sums) - 1
-        return got
-
-    def trim(self) -> None:
-        """Forget everything beyond ``most`` words."""
-        if len(self.sums) > self.most:
+        self.weights, self.known, self.most = np.where(known, weights, 0.0), known.astype(np.float64), most
+        self.sums, self.counts = array("d"), array("d")
+
+    def meet(self, texts: list[list[bytes]]) -> None:
+        """Take in the words of a batch, each new one once."""
+        if len(self) > self.most:
             self.clear()
-            self.sums, self.counts = array("d"), array("q")
+            self.sums, self.counts = array("d"), array("d")
+        new = [w for w in set(chain.from_iterable(texts)) if w not in self]
+        for at in range(0, len(new), 50_000):
+            some = new[at : at + 50_000]
+            bucket, of = gram_table(some)
+            self.update(zip(some, range(len(self.sums), len(self.sums) + len(some)), strict=True))
+            self.sums.frombytes(np.bincount(of, self.weights[bucket], len(some)).tobytes())
+            self.counts.frombytes(np.bincount(of, self.known[bucket], len(some)).tobytes())
+
+    def text_logits(self, texts: list[list[bytes]], bias: float) -> np.ndarray:
+        self.meet(texts)
+        return np.array([self.text_logit(words, bias) for words in texts])
 
     def text_logit(self, words: list[bytes], bias: float) -> float:
-        """The mean logit of the TOP_WINDOWS highest windows, missing ones counting as the bias; of an empty text, the bias."""
+        """The mean logit of the TOP_WINDOWS highest windows of words that were met, missing ones counting as the bias; of an empty text, the bias."""
         if not words:
             return bias
-        self.trim()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        total, n = (np.concatenate([[0], np.frombuffer(x, t)[at].cumsum()]) for x, t in ((self.sums, np.float64), (self.counts, np.int64)))
+        total, n = (np.concatenate([[0], np.frombuffer(x)[at].cumsum()]) for x in (self.sums, self.counts))
         width = min(SCORE_WINDOW, len(words))
         got = (total[width:] - total[:-width]) / np.maximum(n[width:] - n[:-width], 1)
         if len(got) > TOP_WINDOWS:
@@ -140,7 +166,9 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 5) -> tuple[np.ndarray,
     rng = np.random.default_rng(seed)
     words = [words_of(t) for t in texts]
     fold = rng.permutation(len(texts)) % 4 == 0
-    ids = {w: np.array(grams(w), np.int64) for w in {x for i in np.flatnonzero(~fold) for x in words[i]}}
+    every = sorted({x for i in np.flatnonzero(~fold) for x in words[i]})
+    bucket, of = gram_table(every)
+    ids = dict(zip(every, np.split(bucket, np.searchsorted(of, np.arange(1, len(every)))), strict=True)) if every else {}
     texts_with = np.zeros(BUCKETS, np.int64)
     for i in np.flatnonzero(~fold):
         if words[i]:
@@ -171,7 +199,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 5) -> tuple[np.ndarray,
         bag.train([windows[i] for i in keep], y[keep], even(y[keep]), rng, 1)
     parts, bias = bag.linear()
     table = WordLogits(parts, known)
-    z = np.array([table.text_logit(words[i], bias) for i in np.flatnonzero(fold)])
+    z = table.text_logits([words[i] for i in np.flatnonzero(fold)], bias)
     return parts, known, bias, *calibrate(z, toxic[fold].astype(float))
 
 
@@ -180,7 +208,7 @@ def _score(model):
         weights, known, bias, a, b = model.value
         parts = WordLogits(weights, known)
         for batch in batches:
-            z = np.array([parts.text_logit(words_of(t.as_py()), bias) for t in batch.column(1)])
+            z = parts.text_logits([words_of(t.as_py()) for t in batch.column(1)], bias)
             score = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["key", "score"])
 

@@ -324,7 +324,7 @@ def test_unseen_misspellings_score_higher():
     bad = [_text(r, 20) + " " + " ".join(r.choice(("horrible", "hateful", "vileness")) for _ in range(3)) + " " + _text(r, 20) for _ in range(100)]
     parts, known, bias, a, b = toxicity.fit(clean + bad, np.array([0] * 300 + [1] * 100))
     words = toxicity.WordLogits(parts, known)
-    at = lambda t: a * words.text_logit(toxicity.words_of(t), bias) + b
+    at = lambda t: a * words.text_logits([toxicity.words_of(t)], bias)[0] + b
     assert at(_text(r, 40) + " horribble hatefull vilenes") > at(_text(r, 40))
 
 
@@ -337,6 +337,15 @@ def test_long_runs_count_to_their_end():
         assert text == runs[0]
 
 
+def test_grams_are_those_of_the_marked_word():
+    words = [b"abc", b"a", b"**-", b"'Abc'", "éàü".encode(), b"abcdefghij", b"abcabcabc"]
+    bucket, of = toxicity.gram_table(words)
+    got = [set(bucket[of == k].tolist()) for k in range(len(words))]
+    assert [len(g) for g in got] == [7, 2, 0, 7, 7, 28, 16] and got[0] == got[3]
+    assert all(g == set(toxicity.grams(w)) for g, w in zip(got, words, strict=True))
+    assert len(got[0] & set(toxicity.grams(b"abcd"))) == 3
+
+
 def test_window_scores_equal_a_plain_average():
     """A text's logit against the definition: the softmax logit of each window's averaged vectors, the highest TOP_WINDOWS averaged."""
     r, rng = random.Random(4), np.random.default_rng(4)
@@ -352,7 +361,7 @@ def test_window_scores_equal_a_plain_average():
             z = weights @ mean
             own.append(z[1] - z[0])
         want = sum(sorted(own)[-toxicity.TOP_WINDOWS :]) / toxicity.TOP_WINDOWS + 0.25
-        assert abs(logits.text_logit(words, 0.25) - want) < 1e-9
+        assert abs(logits.text_logits([words], 0.25)[0] - want) < 1e-9
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
