@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,57 +25,82 @@ DISAMBIGUATION = r"(?i)\(disambiguation\)"
 ORIGIN = r"^https?://[^/?#]+"
 
 
+#: A segment that means its own folder, and one that means the folder above, also percent-encoded.
+_DOT, _DOTS = r"(?i)\A(?:\.|%2e)\z", r"(?i)\A(?:\.|%2e){2}\z"
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def origin(url: Column) -> Column:
-    """Scheme and host in lower case; empty for other schemes."""
-    return F.lower(F.regexp_extract(url, java("(?i)" + ORIGIN), 0))
+    """Scheme and host in lower case, with a port that is not the scheme's own and without user info; empty for other schemes."""
+    whole = F.lower(F.regexp_replace(F.regexp_extract(url, java("(?i)" + ORIGIN), 0), r"//[^/]*@", "//"))
+    return F.regexp_replace(F.regexp_replace(whole, r"\A(http://[^/]+?):0*80\z|\A(https://[^/]+?):0*443\z", "$1$2"), r":\z", "")
+
+
+def _encoded(x: Column) -> Column:
+    """Blanks and characters beyond ASCII percent-encoded."""
+    each = lambda v: F.transform(F.split(v, ""), lambda c: F.when(c.rlike(r"[^\x21-\x7E]"), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c))
+    return bound(x, lambda v: F.when(v.rlike(r"[^\x21-\x7E]"), F.array_join(each(v), "")).otherwise(v))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that starts with a slash, its dot segments resolved; one at the end leaves a closing slash."""
+    fold = lambda parts: F.aggregate(
+        parts, F.expr("cast(array() as array<string>)"),
+        lambda a, s: F.when(s.rlike(_DOT), a).when(s.rlike(_DOTS), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s))),
+    )
+    closing = lambda p: F.when(p.rlike(r"(?i)/(?:\.|%2e){1,2}\z"), "/").otherwise("")
+    resolved = lambda p: bound(fold(F.split(F.substring(p, 2, 1 << 30), "/")), lambda kept: F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, closing(p)).otherwise("")))
+    return bound(path, lambda p: F.when(p.rlike(r"(?i)/(?:\.|%2e){1,2}(?:/|\z)"), resolved(p)).otherwise(p))
 
 
 def path(url: Column) -> Column:
-    """The path of an absolute url, "/" if it has none."""
-    found = F.regexp_extract(url, r"(?i)\Ahttps?://[^/?#]+([^?#]*)", 1)
-    return F.when(found == "", "/").otherwise(found)
+    """The path of an absolute url with its dot segments resolved, "/" if it has none."""
+    found = F.translate(F.regexp_extract(url, r"(?i)\Ahttps?:[/\\]{2}[^/\\?#]+([^?#]*)", 1), "\\", "/")
+    return bound(found, lambda p: F.when(p == "", "/").otherwise(_encoded(_without_dots(p))))
+
+
+def _parameters(query: Column) -> Column:
+    """Parameters of a query in form encoding, sorted by name, later ones of a name after earlier ones, without tracking."""
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p, i: F.struct(decoded(F.substring_index(p, "=", 1)).alias("k"), i.alias("i"), decoded(F.regexp_extract(p, "=(.*)", 1)).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~p["k"].isin(*TRACKING)))
+    return F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
 
 
 def normalized(url: Column) -> Column:
     """Without fragment and tracking parameters, other parameters by name, one closing slash dropped unless the path is "/". Null for what is no http url."""
-    query = F.regexp_extract(url, r"\A[^?#]*\?([^#]*)", 1)
-    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.substring_index(p, "=", 1).isin(*TRACKING))
-    ordered = F.transform(F.array_sort(F.transform(kept, lambda p, i: F.struct(F.substring_index(p, "=", 1).alias("k"), i.alias("i"), p.alias("p")))), lambda s: s["p"])
-    whole = F.concat(origin(url), path(url), F.when(F.size(ordered) > 0, F.concat(F.lit("?"), F.array_join(ordered, "&"))).otherwise(""))
-    cut = F.when(F.endswith(whole, F.lit("/")) & (path(url) != "/"), F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
-    return F.when(origin(url) != "", cut)
+    query = bound(_parameters(F.regexp_extract(url, r"\A[^?#]*\?([^#]*)", 1)), lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    joined = lambda site, p: bound(F.concat(site, p, query), lambda w: F.when(F.endswith(w, F.lit("/")) & (p != "/"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w))
+    return bound(origin(url), lambda site: F.when(site != "", bound(path(url), lambda p: joined(site, p))))
 
 
 def absolute(href: Column, current: Column) -> Column:
-    """The href against the current url: absolute, protocol- or root-relative, query, or relative to its folder with dot segments removed."""
-    site, folder = origin(current), F.regexp_extract(path(current), r"\A.*/", 0)
-    rest = F.regexp_extract(href, r"\A[^?#]*(.*)", 1)
-    joined = F.concat(folder, F.regexp_extract(href, r"\A[^?#]*", 0))
-    segments = F.aggregate(
-        F.split(F.substring(joined, 2, 1 << 30), "/"),
-        F.expr("cast(array() as array<string>)"),
-        lambda a, s: F.when(s == ".", a).when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s))),
-    )
-    return (
-        F.when(href.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(F.regexp_extract(current, r"\A[A-Za-z]+:", 0), href))
-        .when(href.startswith("/"), F.concat(site, href))
-        .when(href.startswith("?"), F.concat(site, path(current), href))
-        .otherwise(F.concat(site, F.lit("/"), F.array_join(segments, "/"), rest))
-    )
+    """The href against the current url: absolute, protocol- or root-relative, query, or relative to its folder; dot segments are resolved in all of them."""
+    plain = F.regexp_replace(href, r"[\t\r\n]", "")
+    rest = lambda h: F.regexp_extract(h, r"\A[^?#]*(.*)", 1)
+    local = lambda head: F.when(head == "", path(current)).when(head.startswith("/"), head).otherwise(F.concat(F.regexp_extract(path(current), r"\A.*/", 0), head))
+    whole = lambda head: F.when(head.rlike(r"(?i)\Ahttps?:"), head).when(head.startswith("//"), F.concat(F.regexp_extract(current, r"\A[A-Za-z]+:", 0), head))
+    joined = lambda head: bound(whole(head), lambda w: F.when(w.isNotNull(), F.concat(origin(w), path(w))).otherwise(F.concat(origin(current), _encoded(_without_dots(local(head))))))
+    other = lambda h: h.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:") & ~h.rlike(r"(?i)\Ahttps?:")
+    return bound(plain, lambda h: F.when(other(h), h).otherwise(F.concat(joined(F.translate(F.regexp_extract(h, r"\A[^?#]*", 0), "\\", "/")), rest(h))))
 
 
 def eligible(href: Column, current: Column, start_path: Column | None = None) -> Column:
     """The canonical target of a link that a crawl may follow from ``current``, else null: same origin, a page, no site machinery; the start path always passes."""
     trimmed = F.trim(href)
     bad = (trimmed == "") | trimmed.startswith("#") | trimmed.rlike(java(SKIP_SCHEME))
-    url = absolute(trimmed, current)
-    p = path(url)
-    decoded = F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)
-    machinery = p.rlike(java(WIKI_META)) | p.rlike(java(UTILITY)) | (p == "/") | p.rlike(java(LANDING)) | decoded.rlike(java(DISAMBIGUATION))
-    start = F.coalesce(p == start_path, F.lit(False)) if start_path is not None else F.lit(False)
-    good = ~bad & (origin(url) != "") & (origin(url) == origin(current)) & ~p.rlike(java(SKIP_EXTENSION)) & (start | ~machinery)
-    return F.when(good, normalized(url))
+
+    def judged(url: Column, p: Column) -> Column:
+        decoded = F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)
+        machinery = p.rlike(java(WIKI_META)) | p.rlike(java(UTILITY)) | (p == "/") | p.rlike(java(LANDING)) | decoded.rlike(java(DISAMBIGUATION))
+        start = F.coalesce(p == start_path, F.lit(False)) if start_path is not None else F.lit(False)
+        return F.when(bound(origin(url), lambda site: (site != "") & (site == origin(current))) & ~p.rlike(java(SKIP_EXTENSION)) & (start | ~machinery), normalized(url))
+
+    return F.when(~bad, bound(absolute(trimmed, current), lambda url: bound(path(url), lambda p: judged(url, p))))
 
 
 def is_sibling(url: Column, start_path: Column) -> Column:

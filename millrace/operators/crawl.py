@@ -1,11 +1,12 @@
-"""Crawling over a stored link graph: breadth first, bounded by pages, with the frontier kept as a table."""
+"""Crawling over a stored link graph: breadth first, bounded by pages, in the order of one queue."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as u
+from ..session import shared_checkpoints
 
 LEAST_CHARS, FRONTIER_FACTOR = 120, 12
 
@@ -13,29 +14,43 @@ LEAST_CHARS, FRONTIER_FACTOR = 120, 12
 def crawl(pages: DataFrame, start_url: str, max_pages: int = 8, least_chars: int = LEAST_CHARS) -> list:
     """The usable pages that a crawl from ``start_url`` reaches, in order, as rows of url, title and text.
 
-    ``pages`` are extracted pages (url, title, text, links). Each level's links are resolved and filtered in one job; siblings of the start go first; the frontier holds at most
-    12 times max_pages. An error if no page is usable. The driver holds at most the frontier's urls, which that factor bounds.
+    ``pages`` are extracted pages (url, title, text, links); of several with one canonical url the smallest row counts. Pages are taken from one queue: a page's links go to its end, those beside the
+    start before others, each in the order of the page; links already queued or taken are passed over, and none is added while queue and results hold over 12 times max_pages.
+    An error if no page is usable. One job a level; a level's pages and, of each page, as many new links as the queue could take reach the driver, so both are bounded by that factor.
     """
-    known = pages.select(u.normalized(F.col("url")).alias("key"), "url", "title", "text", "links").where("key is not null").dropDuplicates(["key"])
-    start_path = known.sparkSession.range(1).select(u.path(F.lit(start_url)).alias("p")).first().p
-    queue = [known.sparkSession.range(1).select(u.normalized(F.lit(start_url)).alias("k")).first().k]
-    visited, found = set(), []
-    while queue and len(found) < max_pages:
-        level = [k for k in dict.fromkeys(queue) if k not in visited]
-        if not level:
-            break
-        place = {k: i for i, k in enumerate(level)}
-        here = known.where(F.col("key").isin(level))
-        links = here.select("key", "url", F.posexplode("links").alias("pos", "href")).withColumn("target", u.eligible(F.col("href"), F.col("url"), F.lit(start_path)))
-        links = links.where("target is not null").select("key", "pos", "target", u.is_sibling(F.col("target"), F.lit(start_path)).alias("sibling"))
-        usable = here.withColumn("ok", (F.length("text") >= least_chars) & ~u.is_disambiguation(F.col("title"), F.col("text")))
-        for r in sorted(usable.where("ok").select("key", "url", "title", "text").collect(), key=lambda r: place[r.key]):
-            if len(found) < max_pages:
-                found.append(r)
-        visited |= set(level)
-        fresh = links.groupBy("target").agg(F.max("sibling").alias("sibling"), F.min(F.struct("key", "pos")).alias("first")).where(~F.col("target").isin(list(visited)))
-        best = fresh.orderBy(F.desc("sibling"), "first.key", "first.pos", "target").limit(max_pages * FRONTIER_FACTOR).collect()
-        queue = [r.target for r in best]
+    spark = pages.sparkSession
+    shared_checkpoints(spark)
+    start = spark.range(1).select(u.normalized(F.lit(start_url)).alias("key"), u.path(F.lit(start_url)).alias("path"), u.origin(F.lit(start_url)).alias("origin")).first()
+    most = max_pages * FRONTIER_FACTOR
+    here = pages.where(u.origin(F.col("url")) == start.origin).select(u.normalized(F.col("url")).alias("key"), "url", "title", "text", "links")
+    known = here.groupBy("key").agg(F.min(F.struct("url", "title", "text", "links")).alias("page")).select("key", "page.*").checkpoint()
+    level, taken, found = [start.key], set(), []
+    while level and len(found) < max_pages:
+        asked = spark.createDataFrame([(k,) for k in level], "key string")
+        passed = spark.createDataFrame([(k,) for k in taken | set(level)], "target string")
+        now = known.join(F.broadcast(asked), "key").withColumn("ok", (F.length("text") >= least_chars) & ~u.is_disambiguation(F.col("title"), F.col("text")))
+        links = now.select("key", "url", F.posexplode("links").alias("pos", "href")).select("key", "pos", u.eligible(F.col("href"), F.col("url"), F.lit(start.path)).alias("target")).where("target is not null")
+        fresh = links.groupBy("key", "target").agg(F.min("pos").alias("pos")).join(F.broadcast(passed), "target", "left_anti")
+        order = Window.partitionBy("key").orderBy(~u.is_sibling(F.col("target"), F.lit(start.path)), "pos")
+        ahead: dict[str, list[str]] = {}
+        for r in fresh.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most + 1).orderBy("key", "turn").collect():
+            ahead.setdefault(r.key, []).append(r.target)
+        usable = {r.key: r for r in now.where("ok").select("key", "url", "title", "text").collect()}
+        waiting, following = len(level), []
+        for key in level:
+            if len(found) >= max_pages:
+                break
+            waiting -= 1
+            taken.add(key)
+            if key in usable:
+                found.append(usable[key])
+            queued = set(following)
+            for target in ahead.get(key, ()):
+                if waiting + len(following) + len(found) > most:
+                    break
+                if target not in queued:
+                    following.append(target)
+        level = following
     if not found:
         raise ValueError(f"no readable page under {start_url}")
     return found

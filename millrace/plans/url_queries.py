@@ -59,7 +59,8 @@ _TRACK = ", ".join(f"'{t}'" for t in u.TRACKING)
 def _norm(x: str) -> str:
     o, q = f"regexp_extract({x}, '^https?://[^/?#]+')", f"regexp_extract({x}, '^[^?#]*\\?([^#]*)', 1)"
     p = f"case when regexp_extract({x}, '^https?://[^/?#]+([^?#]*)', 1) = '' then '/' else regexp_extract({x}, '^https?://[^/?#]+([^?#]*)', 1) end"
-    kept = f"list_sort(list_filter(string_split({q}, '&'), lambda p: p <> '' and string_split(p, '=')[1] not in ({_TRACK})))"
+    p = f"array_to_string(list_transform(string_split({p}, ''), lambda c: case when unicode(c) between 33 and 126 then c else url_encode(c) end), '')"
+    kept = f"list_transform(list_sort(list_filter(string_split({q}, '&'), lambda p: p <> '' and string_split(p, '=')[1] not in ({_TRACK}))), lambda p: case when contains(p, '=') then p else p || '=' end)"
     whole = f"(lower({o}) || ({p}) || case when len({kept}) > 0 then '?' || array_to_string({kept}, '&') else '' end)"
     return f"case when ends_with({whole}, '/') and ({p}) <> '/' then {whole}[:-2] else {whole} end"
 
