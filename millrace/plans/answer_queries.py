@@ -139,7 +139,7 @@ select conv_id, least(len(ts), 4) + 2 n_messages, sha256('Passages:' || chr(10)
  'system,' || array_to_string(list_transform(ts[-4:], lambda x: x.role), ',') || ',user' roles from c""",
     "prompt_fit": _T + f", p as (select conv_id, array_to_string(list_transform(ts, lambda x: x.text), chr(10)) p from t) select conv_id, {duck_tokens('p')} n_tokens, {duck_tokens('p')} <= 512 fits from p",
     "tidy_answer": f"with f as (select doc_id, {_FLAT} f from documents), l as (select *, {_LAST} k from f) select doc_id, sha256(trim(case when not regexp_matches(f, {duck(TERMINAL)}) and k > 40 then f[1:k + 1] else f end)) tidy_sha256 from l",
-    "refusal_detect": f"select doc_id, {' or '.join(f'contains({_NORM}, {duck(p)})' for p in a.REFUSAL_PHRASES)} is_refusal, len(list_filter(regexp_split_to_array(text, {duck(f'[{WS}]+')}), lambda w: w <> '')) < 15 or ends_with(trim(text), ':') is_stub from documents",
+    "refusal_detect": f"select doc_id, {' or '.join(f'contains({_NORM}, {duck(p)})' for p in a.REFUSAL_PHRASES)} or {_NORM} = 'nothing in the indexed pages answers this please ask about what they cover' is_refusal, len(list_filter(regexp_split_to_array(text, {duck(f'[{WS}]+')}), lambda w: w <> '')) < 15 or ends_with(trim(text), ':') is_stub from documents",
     "support_ratio": _Q + f", w as (select question_id, coalesce(haystack, '') h, {_words('question')} ws from q), r as (select question_id, case when len(ws) = 0 then 1.0::double else len(list_filter(ws, lambda x: contains(h, x)))::double / len(ws) end ratio from w) select question_id, round(ratio, 6) ratio, ratio >= 0.8 passes from r",
     "source_rollup": "select user_id question_id, event_type url, round(max(value), 3) score from events group by all",
     "job_progress": "select user_id, event_id, event_type phase, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answer_queries, catalog_queries, chunk_queries, engine_queries, text_queries, url_queries, vector_queries
+from . import answer_queries, catalog_queries, chunk_queries, engine_queries, fixture_queries, text_queries, url_queries, vector_queries
 
-_MODULES = (text_queries, chunk_queries, url_queries, vector_queries, answer_queries, catalog_queries, engine_queries)
+_MODULES = (text_queries, chunk_queries, url_queries, vector_queries, answer_queries, catalog_queries, engine_queries, fixture_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
