@@ -26,27 +26,33 @@ def _window(ceiling: int) -> str:
 
 
 def units(text: str, chunk_tokens: int) -> str:
-    """Array of (t, n): paragraphs, or for long ones their sentences, or for long ones token windows; at most half a chunk each."""
+    """Array of (t, n): paragraphs, or for long ones their sentences, or for long ones token windows; at most half a chunk each. Tokens of a piece are counted once."""
     ceiling = max(1, chunk_tokens // 2)
-    sentences = f"filter(transform(regexp_extract_all(p, {lit(SENTENCE)}, 0), s -> {trimmed('s')}), s -> s <> '')"
-    pieces = f"filter(transform(regexp_extract_all(s, {lit(_window(ceiling))}, 0), w -> {trimmed('w')}), w -> w <> '')"
-    each = let("q", sentences, f"flatten(transform(IF(size(q) = 0, array(p), q), s -> IF({count_tokens('s')} > {ceiling}, {pieces}, array(s))))")
-    paragraphs = f"filter(transform(split({text}, '\\n{{2,}}'), p -> {trimmed('replace(p, chr(10), chr(32))')}), p -> p <> '')"
-    whole = f"flatten(transform({paragraphs}, p -> IF({count_tokens('p')} <= {ceiling}, array(p), {each})))"
-    return f"transform({whole}, u -> named_struct('t', u, 'n', {count_tokens('u')}))"
+    counted = lambda x: let("t", x, let("n", count_tokens("t"), "named_struct('t', t, 'n', n)"))
+    sentences = f"filter(transform(regexp_extract_all(p.t, {lit(SENTENCE)}, 0), s -> {trimmed('s')}), s -> s <> '')"
+    pieces = f"transform(filter(transform(regexp_extract_all(s.t, {lit(_window(ceiling))}, 0), w -> {trimmed('w')}), w -> w <> ''), w -> {counted('w')})"
+    each = let("q", f"transform({sentences}, s -> {counted('s')})", f"flatten(transform(IF(size(q) = 0, array(p), q), s -> IF(s.n > {ceiling}, {pieces}, array(s))))")
+    paragraphs = f"transform(filter(transform(split({text}, '\\n{{2,}}'), p -> {trimmed('replace(p, chr(10), chr(32))')}), p -> p <> ''), p -> {counted('p')})"
+    return f"flatten(transform({paragraphs}, p -> IF(p.n <= {ceiling}, array(p), {each})))"
 
 
 def packed(units_col: str, chunk_tokens: int, overlap_tokens: int, drop_short_tail: bool = True) -> str:
-    """Array of (text, tokens): a fold over units that closes a full chunk and carries its tail of at most ``overlap_tokens``, never all of it."""
-    total = "aggregate({0}, 0, (s, x) -> s + x.n)"
-    body = "named_struct('text', array_join(transform({0}, x -> x.t), '\\n'), 'tokens', aggregate({0}, 0, (s, x) -> s + x.n))"
-    carried = f"size(filter(sequence(1, size(a.cur)), k -> {total.format('slice(a.cur, k, size(a.cur))')} <= {overlap_tokens}))"
-    tail = let("c", carried, "slice(a.cur, size(a.cur) + 1 - least(c, size(a.cur) - 1), least(c, size(a.cur) - 1))")
-    full = f"size(a.cur) > 0 AND {total.format('a.cur')} + u.n > {chunk_tokens}"
-    start = f"named_struct('cur', slice({units_col}, 1, 0), 'out', cast(array() as array<struct<text: string, tokens: int>>))"
-    step = f"IF({full}, named_struct('cur', concat({tail}, array(u)), 'out', concat(a.out, array({body.format('a.cur')}))), named_struct('cur', concat(a.cur, array(u)), 'out', a.out))"
-    keep = f"size(a.cur) > 0 AND (size(a.out) = 0 OR {total.format('a.cur')} > {overlap_tokens if drop_short_tail else -1})"
-    return f"aggregate({units_col}, {start}, (a, u) -> {step}, a -> IF({keep}, concat(a.out, array({body.format('a.cur')})), a.out))"
+    """Array of (text, tokens): a fold over units that closes a full chunk and carries its tail of at most ``overlap_tokens``, never all of it.
+
+    The fold holds only where the open chunk starts and where chunks were cut; tokens are differences of running sums, and each chunk is sliced out once.
+    """
+    sums = f"aggregate({units_col}, array(0), (a, u) -> array_append(a, element_at(a, -1) + u.n))"
+    # From the cut at i back to the start s: the first place from which no more than the overlap is left, but never s itself.
+    carry = f"i - least(i - a.s - 1, size(filter(slice(sums, a.s + 1, i - a.s), x -> get(sums, i) - x <= {overlap_tokens})))"
+    full = f"i > a.s AND get(sums, i + 1) - get(sums, a.s) > {chunk_tokens}"
+    step = f"IF({full}, named_struct('s', {carry}, 'cuts', array_append(a.cuts, named_struct('a', a.s, 'b', i))), a)"
+    last = f"size({units_col})"
+    keep = f"{last} > a.s AND (size(a.cuts) = 0 OR get(sums, {last}) - get(sums, a.s) > {overlap_tokens if drop_short_tail else -1})"
+    start = "named_struct('s', 0, 'cuts', cast(array() as array<struct<a: int, b: int>>))"
+    fold = f"aggregate(sequence(0, size({units_col}) - 1), {start}, (a, i) -> {step}, a -> IF({keep}, array_append(a.cuts, named_struct('a', a.s, 'b', {last})), a.cuts))"
+    body = f"named_struct('text', array_join(transform(slice({units_col}, c.a + 1, c.b - c.a), x -> x.t), '\n'), 'tokens', get(sums, c.b) - get(sums, c.a))"
+    empty = "cast(array() as array<struct<text: string, tokens: int>>)"
+    return f"IF(size({units_col}) > 0, {let('sums', sums, f'transform({fold}, c -> {body})')}, {empty})"
 
 
 def with_chunks(pages: DataFrame, text_col: str = "text", chunk_tokens: int = CHUNK_TOKENS, overlap_tokens: int = OVERLAP_TOKENS, drop_short_tail: bool = True) -> DataFrame:

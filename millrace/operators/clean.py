@@ -83,6 +83,7 @@ def with_lines(pages: DataFrame, text_col: str = "text") -> DataFrame:
 
     Verdicts, the first that applies: tail (inside closing apparatus, its heading included), blank (kept), boilerplate, contents, citation, tiny, duplicate, kept. Only headings and lines up to
     ``tiny`` take part in duplicates, case folded. A null text has no lines. Sub-headings leave the tail state as it is; another heading ends it.
+    The work grows with the lines of a text, times the logarithm of their number.
     """
     line = trimmed(f"regexp_replace(regexp_replace(l, '\\u00a0', ' '), '[ \\\\t]+', ' ')")
     name = trimmed(f"regexp_replace(f.plain, {lit(EDIT)}, '')")
@@ -95,11 +96,15 @@ def with_lines(pages: DataFrame, text_col: str = "text") -> DataFrame:
     )
     own = let("low", "lower(f.plain)", own)
     facts = f"transform({marked}, f -> named_struct('line', f.line, 'plain', f.plain, 'heading', f.heading, 'event', {event}, 'own', {own}))"
-    tail = "aggregate(facts, '', (a, f) -> concat(a, IF(f.event = 1, '1', IF(f.event = 3, '0', IF(endswith(a, '1'), '1', '0')))))"
-    keys = "transform(facts, (f, i) -> IF(f.own = 'kept' AND substr(tail, i + 1, 1) = '0', lower(f.plain), NULL))"
-    verdict = "CASE WHEN substr(tail, i + 1, 1) = '1' THEN 'tail' WHEN f.own = 'kept' AND array_position(keys, lower(f.plain)) <= i THEN 'duplicate' ELSE f.own END"
+    # A line is in the tail if the last event at or before it opened one: in a string of events, a 0 that only 0s part from a 1 before it becomes a 1.
+    events = "array_join(transform(facts, f -> CASE f.event WHEN 1 THEN '1' WHEN 3 THEN '3' ELSE '0' END), '')"
+    tail = rf"split(regexp_replace({events}, r'(?:(?!\A)\G|(?<=1))0', '1'), '')"
+    # Lines sorted by key: the first of each key stays; sorted back by line, a flag stands at each line's place.
+    keyed = "array_sort(transform(facts, (f, i) -> named_struct('key', IF(f.own = 'kept' AND get(tail, i) <> '1', lower(f.plain), NULL), 'i', i)))"
+    again = let("sorted", keyed, "transform(array_sort(transform(sorted, (x, j) -> named_struct('i', x.i, 'again', x.key IS NOT NULL AND coalesce(get(sorted, j - 1).key = x.key, false)))), x -> x.again)")
+    verdict = "CASE WHEN get(tail, i) = '1' THEN 'tail' WHEN get(again, i) THEN 'duplicate' ELSE f.own END"
     judged = f"transform(facts, (f, i) -> named_struct('line', f.line, 'plain', f.plain, 'heading', f.heading, 'verdict', {verdict}))"
-    return pages.withColumn("lines", F.expr(let("facts", facts, let("tail", tail, let("keys", keys, judged)))))
+    return pages.withColumn("lines", F.expr(let("facts", facts, let("tail", tail, let("again", again, judged)))))
 
 
 def line_verdicts(pages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

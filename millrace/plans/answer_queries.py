@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import TERMINAL, WS, duck, duck_tokens, duck_trimmed, tokens
 from ..operators import answer as a
 from ..operators import ground as g
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 
 def question_terms(spark, sf_dir):
@@ -71,7 +71,7 @@ def prompt_fit(spark, sf_dir):
 
 
 def tidy_answer(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(a.tidied("text"), 256).alias("tidy_sha256"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.sha2(a.tidied("text"), 256).alias("tidy_sha256"))
 
 
 def refusal_detect(spark, sf_dir):

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 
 def _lines(verdict=None):
     def run(spark, sf_dir):
-        out = clean.line_verdicts(table(spark, sf_dir, "documents"))
+        out = clean.line_verdicts(spread(table(spark, sf_dir, "documents")))
         if verdict is None:
             return out.select("doc_id", "line_no", "line")
         return out.where(F.col("verdict") == verdict).select("doc_id", "line_no", "line")
@@ -19,11 +19,11 @@ def _lines(verdict=None):
 
 
 def clean_verdicts(spark, sf_dir):
-    return clean.line_verdicts(table(spark, sf_dir, "documents")).groupBy("doc_id", "verdict").agg(F.count("*").alias("n_lines"))
+    return clean.line_verdicts(spread(table(spark, sf_dir, "documents"))).groupBy("doc_id", "verdict").agg(F.count("*").alias("n_lines"))
 
 
 def clean_documents(spark, sf_dir):
-    return clean.cleaned(table(spark, sf_dir, "documents")).select("doc_id", F.sha2("cleaned", 256).alias("cleaned_sha256"), F.length("cleaned").alias("cleaned_chars"))
+    return clean.cleaned(spread(table(spark, sf_dir, "documents"))).select("doc_id", F.sha2("cleaned", 256).alias("cleaned_sha256"), F.length("cleaned").alias("cleaned_chars"))
 
 
 _VERDICTS = {"clean_tail_sections": "tail", "clean_boilerplate": "boilerplate", "clean_toc": "contents", "clean_citations": "citation", "clean_tiny": "tiny", "clean_dedup": "duplicate"}
