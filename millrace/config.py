@@ -20,6 +20,7 @@ class EngineConfig:
     max_tokens_long: int = 1400
     min_term_ratio: float = 0.5
     dimensions: int = 128
+    embed_tokens: int = 8000
 
     def page_limit(self, asked: int | None) -> int:
         """Pages to crawl: 1 to 30, the default without a number."""

@@ -6,6 +6,11 @@ Spark's window group limit, so a batch of queries moves k rows per task and quer
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +18,8 @@ from ..functions.text import let
 
 #: Queries are broadcast against all chunks up to this many; a larger batch is an error, to be sent in blocks.
 MOST_QUERIES = 20_000
+#: Pairs that are scored at once, eight bytes each.
+PAIRS = 4_000_000
 
 
 def norm(x: str) -> Column:
@@ -40,10 +47,52 @@ def is_valid(x: str, dimensions: int) -> Column:
     return F.coalesce(F.expr(f"size({x}) = {dimensions} AND forall({x}, e -> e IS NOT NULL AND NOT isnan(e) AND abs(e) < double('infinity'))"), F.lit(False))
 
 
-def scored(queries: DataFrame, chunks: DataFrame, min_score: float, ready: DataFrame | None = None, only: list | None = None) -> DataFrame:
-    """query_id, chunk_id, kb_id, token_count, score of all pairs at or above min_score.
-
-    queries: query_id, query; chunks: chunk_id, kb_id, token_count, embedding; ready: kb_id of the knowledge bases to search; only: null or empty for all.
+def matrix(vectors: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: places of vectors without nulls and with a direction, and those vectors at unit length."""
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == size)
+        values = vectors.take(pa.array(at)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, size)
+        with np.errstate(invalid="ignore", over="ignore"):
+            norms = np.sqrt((values * values).sum(axis=1))
+        good = np.isfinite(norms) & (norms > 0)
+        out[size] = at[good], values[good] / norms[good, None]
+    return out
+
+
+def _scores(asked, min_score: float, most: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries, probes = asked.value
+        for batch in batches:
+            for size, (at, rows) in matrix(batch.column("embedding")).items():
+                if size not in queries:
+                    continue
+                places, units = queries[size]
+                cells = batch.column("cell").to_numpy(zero_copy_only=False)[at] if probes is not None else None
+                step = max(1, PAIRS // len(places))
+                for begin in range(0, len(at), step):
+                    score = rows[begin : begin + step] @ units.T
+                    keep = score >= min_score
+                    if probes is not None:
+                        keep &= probes[places][:, cells[begin : begin + step]].T
+                    if most is not None and len(score) > most:
+                        score = np.where(keep, score, -np.inf)
+                        keep &= score >= np.partition(score, len(score) - most, axis=0)[len(score) - most]
+                    row, query = np.nonzero(keep)
+                    if len(row):
+                        own = batch.select(["chunk_id", "kb_id", "token_count"]).take(pa.array(at[begin + row]))
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(places[query])), *own.columns, pa.array(score[row, query])], ["query_id", "chunk_id", "kb_id", "token_count", "score"])
+
+    return run
+
+
+def scored(queries: DataFrame, chunks: DataFrame, min_score: float, ready: DataFrame | None = None, only: list | None = None, most: int | None = None, probes: Callable | None = None) -> DataFrame:
+    """query_id, chunk_id, kb_id, token_count, score of all pairs at or above min_score; with ``most``, of those that can be among a query's ``most`` best.
+
+    queries: query_id, query; chunks: chunk_id, kb_id, token_count, embedding; ready: kb_id of the knowledge bases to search; only: null or empty for all. Vectors that are null,
+    of another length, not finite or zero meet nothing. ``probes`` gives for unit queries by rows the cells to look into, for chunks with a cell.
     """
     n = queries.count()
     if n > MOST_QUERIES:
@@ -53,9 +102,19 @@ def scored(queries: DataFrame, chunks: DataFrame, min_score: float, ready: DataF
         pool = pool.join(ready.select("kb_id"), "kb_id", "left_semi")
     if only:
         pool = pool.where(F.col("kb_id").isin(only))
-    unit = pool.select("chunk_id", "kb_id", "token_count", "embedding", norm("embedding").alias("n"))
-    asked = F.broadcast(queries.select("query_id", "query", norm("query").alias("qn")))
-    return unit.crossJoin(asked).withColumn("score", F.when(F.col("n") * F.col("qn") > 0, dot("embedding", "query") / (F.col("n") * F.col("qn")))).where(F.col("score") >= min_score).select("query_id", "chunk_id", "kb_id", "token_count", "score")
+    asked = queries.select("query_id", "query").toArrow()
+    by_size, looked = matrix(asked.column("query")), None
+    pool = pool.select("chunk_id", "kb_id", "token_count", "embedding", *(["cell"] if probes else []))
+    if probes:
+        looked = np.zeros((asked.num_rows, 0), bool)
+        for at, units in by_size.values():
+            own = probes(units)
+            looked = np.zeros((asked.num_rows, own.shape[1]), bool)
+            looked[at] = own
+        pool = pool.where(F.col("cell").isin(np.flatnonzero(looked.any(axis=0)).tolist()))
+    shared = queries.sparkSession.sparkContext.broadcast((asked.column("query_id").combine_chunks(), by_size, looked))
+    types = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for d, c in ((queries, "query_id"), (pool, "chunk_id"), (pool, "kb_id"), (pool, "token_count")))
+    return pool.mapInArrow(_scores(shared, min_score, most), types + ", score double")
 
 
 def top_k(found: DataFrame, k: int) -> DataFrame:

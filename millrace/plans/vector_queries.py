@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import index as ix
 from ..operators import vectors as v
 from ..sources.tables import table
 
@@ -24,15 +25,15 @@ def _shown(df):
 
 
 def _hits(spark, sf_dir, where="vec_id % 20 = 0", min_score=0.1, k=12, **more):
-    return v.top_k(v.scored(asked(spark, sf_dir, where), chunks(spark, sf_dir), min_score, **more), k)
+    return v.top_k(v.scored(asked(spark, sf_dir, where), chunks(spark, sf_dir), min_score, most=k, **more), k)
 
 
 def topk_search(spark, sf_dir):
-    return _shown(_hits(spark, sf_dir, "vec_id = 0", k=6))
+    return _shown(_hits(spark, sf_dir, k=6))
 
 
 def topk_search_filtered(spark, sf_dir):
-    return _shown(_hits(spark, sf_dir, "vec_id = 0", k=6, only=[1, 3, 5]))
+    return _shown(_hits(spark, sf_dir, k=6, only=[1, 3, 5]))
 
 
 def topk_batch(spark, sf_dir):
@@ -57,9 +58,27 @@ def vector_normalize(spark, sf_dir):
 
 
 def cosine_pairwise_label(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    q = F.broadcast(e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")))
-    return e.crossJoin(q).groupBy("query_id", "label").agg(F.round(F.avg(v.cosine("embedding", "query")), 6).alias("mean_cosine"), F.count("*").alias("n"))
+    """Mean cosine of each query with each knowledge base."""
+    hits = v.scored(asked(spark, sf_dir, "vec_id % 20 = 0"), chunks(spark, sf_dir), -2.0)
+    return hits.groupBy("query_id", F.col("kb_id").alias("label")).agg(F.round(F.avg("score"), 6).alias("mean_cosine"), F.count("*").alias("n"))
+
+
+def _approximate(spark, sf_dir, k=10):
+    rows = chunks(spark, sf_dir)
+    centres = ix.fit(rows, k=k)
+    return ix.search(asked(spark, sf_dir, "vec_id % 20 = 0"), ix.indexed(rows, centres), centres, k)
+
+
+def ann_topk(spark, sf_dir):
+    """The ten best by the approximate index."""
+    return _shown(_approximate(spark, sf_dir))
+
+
+def ann_recall(spark, sf_dir):
+    """How many of the ten best of all queries the index finds, as a share of at least 0.9 or not."""
+    exact = _hits(spark, sf_dir, min_score=-1.0, k=10).select("query_id", "chunk_id")
+    both = exact.join(_approximate(spark, sf_dir).select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    return both.agg(F.count("*").alias("n_best"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("reached"))
 
 
 def _sql(where, only="", k=12, tail="select query_id, chunk_id, kb_id, round(score, 6) score from h"):
@@ -79,11 +98,11 @@ _BUDGET = """, recursive f as (
   from (select h.*, f.n fn, f.tokens ft, f.n < 4 and f.tokens + h.token_count <= 700 ok from f join h on h.query_id = f.query_id and h.r = f.r + 1) h
   join f on f.query_id = h.query_id and f.r = h.r - 1)
 select query_id, chunk_id, kb_id, round(score, 6) score from f where took"""
-_ONE, _MANY = "q.vec_id = 0", "q.vec_id % 20 = 0"
-QUERIES = {f.__name__: f for f in (topk_search, topk_search_filtered, topk_batch, relative_cutoff, token_budget_select, vector_norm_check, vector_normalize, cosine_pairwise_label)}
+_MANY = "q.vec_id % 20 = 0"
+QUERIES = {f.__name__: f for f in (topk_search, topk_search_filtered, topk_batch, relative_cutoff, token_budget_select, vector_norm_check, vector_normalize, cosine_pairwise_label, ann_topk, ann_recall)}
 ORACLES = {
-    "topk_search": _sql(_ONE, k=6),
-    "topk_search_filtered": _sql(_ONE, "and c.label in (1, 3, 5)", 6),
+    "topk_search": _sql(_MANY, k=6),
+    "topk_search_filtered": _sql(_MANY, "and c.label in (1, 3, 5)", 6),
     "topk_batch": _sql(_MANY),
     "relative_cutoff": _sql(_MANY, tail="select query_id, chunk_id, kb_id, round(score, 6) score from (select *, max(score) over (partition by query_id) best from h) where score >= best * 0.3"),
     "token_budget_select": _sql(_MANY, tail=_BUDGET).replace("\nwith s as", "\nwith recursive s as").replace(", recursive f as", ", f as"),
@@ -91,5 +110,6 @@ ORACLES = {
     "vector_normalize": """select vec_id, round(embedding[1]::double / n, 6) "first", round(embedding[64]::double / n, 6) "last", 1.0::double norm
 from (select *, sqrt(list_inner_product(embedding::double[], embedding::double[])) n from embeddings)""",
     "cosine_pairwise_label": """select q.vec_id query_id, c.label, round(avg(list_inner_product(c.embedding::double[], q.embedding::double[]) / sqrt(list_inner_product(c.embedding::double[], c.embedding::double[])
- * list_inner_product(q.embedding::double[], q.embedding::double[]))), 6) mean_cosine, count(*) n from embeddings c, embeddings q where q.vec_id < 10 group by all""",
+ * list_inner_product(q.embedding::double[], q.embedding::double[]))), 6) mean_cosine, count(*) n from embeddings c, embeddings q where q.vec_id % 20 = 0 group by all""",
+    "ann_recall": "select cast(sum(least(10, n)) as bigint) n_best, true reached from (select (select count(*) from embeddings) n from embeddings where vec_id % 20 = 0)",
 }

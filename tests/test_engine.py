@@ -80,6 +80,31 @@ def test_budget_skips_and_goes_on(spark):
     assert sorted((r.query_id, r.rank) for r in got) == [(1, 1), (2, 1), (2, 3), (2, 4), (2, 5)]
 
 
+def test_scores_and_index_equal_plain_cosine(spark):
+    import numpy as np
+
+    from millrace.operators import index
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 12)).astype(np.float32)
+    x[1000:1400] = x[0]  # a third of all rows in one place
+    rows = [(i, i % 3, 1, v.tolist()) for i, v in enumerate(x)] + [(9000, 0, 1, None), (9001, 0, 1, [0.0] * 12), (9002, 0, 1, [1.0] * 5), (9003, 0, 1, [float("nan")] * 12)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, kb_id int, token_count int, embedding array<float>")
+    asked = spark.createDataFrame([(i, x[i * 37].tolist()) for i in range(30)] + [(99, None)], "query_id int, query array<float>")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {i: sorted((-round(float(s), 5), k) for k, s in enumerate(unit @ unit[i * 37]))[:8] for i in range(30)}
+    got = {}
+    for r in vectors.top_k(vectors.scored(asked, chunks, -1.0, most=8), 8).collect():
+        got.setdefault(r.query_id, []).append((-round(r.score, 5), r.chunk_id))
+    assert {k: [s for s, _ in sorted(v)] for k, v in got.items()} == {k: [s for s, _ in v] for k, v in want.items()}
+    centres = index.fit(chunks, 32)
+    table = index.indexed(chunks, centres)
+    assert table.where("cell < 0").count() == 4 and table.count() == len(rows)
+    found = {(r.query_id, r.chunk_id) for r in index.search(asked, table, centres, 8).collect()}
+    exact = {(k, c) for k, v in want.items() for _, c in v}
+    assert len(found & exact) >= 0.9 * len(exact)
+
+
 def test_catalog(spark):
     kbs = spark.createDataFrame([("1", "a", "A", "indexing", None, 0, 0), ("2", "b", "B", "indexing", None, 0, 0), ("3", "c", "C", "ready", None, 1, 1)], catalog.SCHEMA)
     pages, chunks = spark.createDataFrame([(1, "1", "u")], "page_id int, kb_id string, url string"), spark.createDataFrame([(1, "1", 0), (1, "1", 1)], "page_id int, kb_id string, chunk_index int")
@@ -98,18 +123,66 @@ def test_engine(spark, tmp_path):
     assert engine.index("https://m.org", pages) == "ready"
     got = {r.question_id: r for r in engine.ask(asked).collect()}
     assert "mill was built" in got[1].answer and got[1].sources[0].url == "https://m.org/a" and got[2].refusal and not got[2].sources
-    assert engine.index("https://m.org", pages.limit(0)) == "ready"
+    assert got[1].sources[0].title == "Mill" and got[1].sources[0].site_title == "m.org" and engine.index("https://m.org", pages.limit(0)) == "ready"
     with pytest.raises(ValueError):
         engine.index("https://n.org", pages)
+    first = engine.read("chunks").orderBy("chunk_id").select("chunk_id", "created_at").collect()
+    changed = pages.withColumn("text", F.when(F.col("page_id") == 2, F.concat("text", F.lit(" The queen alone lays eggs there, and she does so all summer."))).otherwise(F.col("text")))
+    assert engine.index("https://m.org", changed, use_cache=False) == "ready"
+    then = {r.chunk_id: r.created_at for r in engine.read("chunks").collect()}
+    assert all((then[r.chunk_id] == r.created_at) == r.chunk_id.startswith("1:") for r in first)
+    before = engine.sites().first()
+    assert engine.index("https://m.org", pages.limit(0), use_cache=False) == "ready" and engine.read("chunks").count() == len(then)
+    assert engine.reindex(lambda site: pages) == {"https://m.org": "ready"} and engine.sites().first().updated_at > before.updated_at
+    assert engine.query_one("select count(*) n from {chunks} where kb_id = :kb", {"kb": before.id}).n == engine.read("chunks").count() and "created_at" in engine.check()["kbs"]
+    engine._save(engine._catalog().withColumn("status", F.lit("indexing")))
+    with pytest.raises(ValueError):
+        engine.index("https://m.org", pages)
     engine.open()
+    assert engine.sites().first().status == "ready"
     assert engine.stats().first().chunks == engine.read("chunks").count()
     engine.delete("https://m.org")
     assert engine.stats().first().pages == 0
 
 
+def test_engine_survives_a_broken_write(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path), EngineConfig(chunk_tokens=64, overlap_tokens=8))
+    assert engine.stats().first().asDict() == {"ready_sites": 0, "total_sites": 0, "pages": 0, "chunks": 0} and engine.check() == {"kbs": None, "pages": None, "chunks": None}
+    pages = spark.createDataFrame([(1, "https://m.org/a", "Mill", TEXT * 3)], "page_id long, url string, title string, text string")
+    broken = pages.withColumn("text", F.expr("cast(raise_error('torn page') as string)"))
+    with pytest.raises(Exception, match="torn page"):
+        engine.index("https://m.org", broken)
+    assert engine.sites().first().status == "failed" and "torn page" in engine.sites().first().error
+    assert engine.index("https://m.org", pages) == "ready"
+    with pytest.raises(Exception, match="torn page"):
+        engine.index("https://m.org", broken, use_cache=False)
+    assert engine.sites().first().status == "ready" and engine.stats().first().chunks > 0
+    number, manifest = engine._manifest()
+    with pytest.raises(RuntimeError):
+        engine._publish(number, manifest)
+
+
+def test_stored_pages_and_command_line(spark, tmp_path, capsys):
+    from millrace.__main__ import main
+
+    html = lambda name, links: f"<title>{name}</title><p>{TEXT}{name} stands there still.</p>" + "".join(f'<a href="{x}">l</a>' for x in links)
+    raw = [(1, "https://m.org/a", html("Mill", ["/b", "/c"])), (2, "https://m.org/b", html("Barn", [])), (3, "https://m.org/c", html("Ford", [])), (4, "https://n.org/", html("Other", []))]
+    spark.createDataFrame(raw, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    store = str(tmp_path / "store")
+    main([store, "index", "m.org/a", str(tmp_path / "pages.parquet"), "--max-pages", "2"])
+    main([store, "reindex", str(tmp_path / "pages.parquet")])
+    main([store, "ask", "When", "was", "the", "old", "mill", "built", "beside", "the", "river?"])
+    said = capsys.readouterr().out
+    assert said.startswith("ready") and "https://m.org/a ready" in said and "mill was built" in said
+    main([store, "stats"])
+    main([store, "delete", "https://m.org/a"])
+    main([store, "sites"])
+    assert Engine(spark, store).stats().first().pages == 0
+
+
 def test_plans_stay_native(spark):
     folder = "/root/testdata/sf0.001"
-    for name in ("clean_documents", "chunk_pack", "topk_search", "lexical_gate"):
+    for name in ("clean_documents", "chunk_pack", "lexical_gate"):
         plan = registry.queries()[name](spark, folder)._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan
     documents = spark.read.parquet(f"{folder}/documents.parquet")  # the queries may deal a small file over the cores first, the operators do not shuffle
