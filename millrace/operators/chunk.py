@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import TERMINAL, TOKEN, WS, count_tokens, duck, duck_has, duck_tokens, duck_trimmed, duck_words, has, let, lit, n_words, trimmed
+from ..session import shared_checkpoints
 
 CHUNK_TOKENS, OVERLAP_TOKENS = 512, 64
 SENTENCE = rf"""[^.!?]+[.!?]+[{WS}"')\]]*|[^.!?]+$"""
@@ -114,21 +115,30 @@ def build_chunks(cleaned: DataFrame, id_col: str = "doc_id", text_col: str = "cl
     return df.select(id_col, F.posexplode(F.expr(refined())).alias("chunk_index", "c")).select(id_col, "chunk_index", F.col("c.text").alias("text"), F.col("c.tokens").alias("token_count"))
 
 
-def capped(chunks: DataFrame, most: int, page_col: str = "doc_id") -> DataFrame:
-    """The first ``most`` chunks in document order (0: all), pages renumbered densely as page_index.
+def capped(chunks: DataFrame, most: int, page_col: str = "doc_id", kb_col: str | None = None) -> DataFrame:
+    """The first ``most`` chunks of each knowledge base in document order (0: all), pages renumbered densely from 0 as page_index.
 
-    Every page has a chunk, so a cut lies within the first ``most`` pages; only their counts are ranked in one place. Without a cut all
-    page counts are.
+    Every page has a chunk, so a cut lies within the first ``most`` pages, and no task ranks more than that of a knowledge base: the rest goes before the shuffle. Without a cut
+    page counts are sorted by range, numbered within their range and shifted by the counts of the ranges before.
     """
     from pyspark.sql import Window
 
-    counts = chunks.groupBy(page_col).agg(F.count("*").alias("n"))
+    keys = [kb_col] if kb_col else []
+    counts = chunks.groupBy(*keys, page_col).agg(F.count("*").alias("n"))
     if most:
-        counts = counts.orderBy(page_col).limit(most)
-    order = Window.orderBy(page_col)
-    pages = counts.select(page_col, (F.dense_rank().over(order) - 1).alias("page_index"), (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
-    out = chunks.join(pages, page_col)
-    return (out.where(F.col("before") + F.col("chunk_index") < most) if most else out).drop("before")
+        order = Window.partitionBy(*keys).orderBy(page_col) if keys else None
+        counts = counts.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most).drop("turn") if order else counts.orderBy(page_col).limit(most)
+        order = order or Window.orderBy(page_col)
+        pages = counts.select(*keys, page_col, (F.row_number().over(order) - 1).alias("page_index"), (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
+        return chunks.join(pages, [*keys, page_col]).where(F.col("before") + F.col("chunk_index") < most).drop("before")
+    shared_checkpoints(chunks.sparkSession)
+    ranged = counts.repartitionByRange(*keys, page_col).withColumn("range", F.spark_partition_id()).checkpoint()
+    shifts = ranged.groupBy(*keys, "range").agg(F.count("*").alias("pages"))
+    earlier = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = shifts.select(*keys, "range", F.coalesce(F.sum("pages").over(earlier), F.lit(0)).alias("shift"))
+    within = Window.partitionBy(*keys, "range").orderBy(page_col)
+    pages = ranged.withColumn("turn", F.row_number().over(within)).join(F.broadcast(shifts), [*keys, "range"]).select(*keys, page_col, (F.col("shift") + F.col("turn") - 1).alias("page_index"))
+    return chunks.join(pages, [*keys, page_col])
 
 
 # DuckDB counterparts.

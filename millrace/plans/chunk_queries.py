@@ -56,7 +56,10 @@ def build_chunks(spark, sf_dir):
 
 
 def chunk_cap_reindex(spark, sf_dir):
-    return chunk.capped(_built(spark, sf_dir), 500).select("doc_id", "page_index", "chunk_index", "token_count")
+    """The first 500 chunks of each source, pages renumbered."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    built = chunk.with_chunks(clean.cleaned(docs), "cleaned", CHUNK, OVERLAP).select("doc_id", "source", F.posexplode(F.expr(chunk.refined())).alias("chunk_index", "c"))
+    return chunk.capped(built.select("doc_id", "source", "chunk_index", F.col("c.tokens").alias("token_count")), 500, kb_col="source").select("source", "doc_id", "page_index", "chunk_index", "token_count")
 
 
 _FOLD = chunk.oracle_chunks("src", CHUNK, OVERLAP)
@@ -85,5 +88,5 @@ ORACLES = {
     "trim_labels": f"select doc_id, sha256({chunk.duck_without_labels('text')}) trimmed_sha256 from documents",
     "strip_listings": f"select doc_id, sha256({chunk.duck_without_listings('text')}) stripped_sha256 from documents",
     "build_chunks": _BUILT + "select doc_id, chunk_index, token_count, sha256(t) text_sha256 from b",
-    "chunk_cap_reindex": _BUILT + ", g as (select *, row_number() over (order by doc_id, chunk_index) n, dense_rank() over (order by doc_id) - 1 page_index from b) select doc_id, page_index, chunk_index, token_count from g where n <= 500",
+    "chunk_cap_reindex": _BUILT + ", g as (select d.source, b.*, row_number() over (partition by d.source order by b.doc_id, chunk_index) n, dense_rank() over (partition by d.source order by b.doc_id) - 1 page_index from b join documents d using (doc_id)) select source, doc_id, page_index, chunk_index, token_count from g where n <= 500",
 }

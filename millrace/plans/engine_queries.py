@@ -1,4 +1,4 @@
-"""Whole-engine queries: extraction, crawling, batch answers. They have no SQL form."""
+"""Whole-engine queries: extraction, crawling, batch answers."""
 
 from __future__ import annotations
 
@@ -21,10 +21,11 @@ def html_extract(spark, sf_dir):
 
 
 def crawl_bfs(spark, sf_dir):
-    """A crawl of the site of the first page."""
-    pages = extracted(table(spark, sf_dir, "pages"))
-    start = table(spark, sf_dir, "pages").agg(F.min_by("url", "page_id").alias("u")).first().u
-    return spark.createDataFrame([(i, r.key, r.title, len(r.text)) for i, r in enumerate(crawl(pages, start, 8, 1))], "turn int, url string, title string, chars int")
+    """A crawl over all pages of the table, linked as a tree: each page names page 2n + 2, then 2n + 1."""
+    site, n = "https://site.example/p/", F.col("page_id")
+    links = F.array(*[F.concat(F.lit("/p/"), (2 * n + k).cast("string")) for k in (2, 1)])
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit(site), "page_id").alias("url"), F.col("url").alias("title"), F.col("html").alias("text"), links.alias("links"))
+    return spark.createDataFrame([(i, r.key, r.title) for i, r in enumerate(crawl(pages, site + "0", 8, 1))], "turn int, url string, title string")
 
 
 def ask_batch(spark, sf_dir):
@@ -36,4 +37,8 @@ def ask_batch(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (html_extract, crawl_bfs, ask_batch)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "crawl_bfs": """with recursive t as (select 0::bigint id, [0] path union all select 2 * id + k, list_append(path, 2 - k) from t, (values (2), (1)) v(k) where len(path) < 6),
+o as (select cast(row_number() over (order by len(path), path) - 1 as int) turn, page_id, url from t join pages on page_id = id where html <> '')
+select turn, 'https://site.example/p/' || page_id url, url title from o where turn < 8"""
+}

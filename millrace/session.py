@@ -8,8 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's ``spark.checkpoint.dir`` stands; only where none is set is a temporary folder used."""
+    """Make checkpoint() usable: the cluster's ``spark.checkpoint.dir`` stands; where none is set a local session gets a temporary folder, any other an error."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
 
 
