@@ -131,7 +131,9 @@ def pack_documents(
     A null or empty text is the closing 0 alone, so every row gives a piece. Repeated rows are separate
     documents; other columns are ignored, whatever their names; an empty table gives no piece. Null ids stay null.
 
-    Partitions hold about ``part_pieces`` pieces, four times as many in each round of exchange and 65,536 at most.
+    Partitions hold about ``part_pieces`` pieces, four times as many in each round of exchange and 65,536 at most (16,384 when ``with_ids``, 8 KB each). Exchange ends when the pool
+    meets its bound, when a round saves nothing, or after ``max_rounds``; nothing is lost by that but the last few sequences (none over the bound at 10,000 documents). Equal lengths are
+    placed by their order in the partition, so ties change only which document lies where.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -144,7 +146,7 @@ def pack_documents(
         n, bins, tokens = pool.agg(F.count("*"), F.count_if(F.col("offset") == 0), F.coalesce(F.sum("length"), F.lit(0))).first()
         if bins <= -(-tokens // capacity):
             break
-        again = _pack(pool, max(1, -(-n // min(65_536, part_pieces * 4**turn))), capacity, turn)
+        again = _pack(pool, max(1, -(-n // min(16_384 if with_ids else 65_536, part_pieces * 4**turn))), capacity, turn)
         if again.agg(F.count_if(F.col("offset") == 0)).first()[0] >= bins:
             break
         settled, pool = settled.unionByName(again.where("not released")), again.where("released")

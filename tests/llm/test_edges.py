@@ -161,3 +161,54 @@ def test_revisits(spark):
     }
     assert got[2].headers == {"etag": 'W/"1"', "content-type": "text/html", "age": "9"} and got[2].payload_digest == "d1"
     assert warc.resolve_revisits(caps.where("false")).count() == 0
+
+
+def test_urls_of_captures(spark):
+    """Empty and very long urls are keys like any other."""
+    long = "http://a.com/" + "x/" * 50_000
+    rows = [(1, "", 0, "response", 200), (2, "", 5, "revisit", 304), (3, long, 0, "response", 200), (4, long + "#z", 5, "revisit", 304), (4, long + "#z", 5, "revisit", 304)]
+    caps = spark.createDataFrame(rows, "record_id long, uri string, at long, kind string, status int").select("*", F.timestamp_seconds("at").alias("time"), F.lit(None).cast("map<string,string>").alias("headers"), F.lit("d").alias("payload_digest"))
+    assert sorted((r.record_id, r.response_id) for r in warc.resolve_revisits(caps).collect()) == [(2, 1), (4, 3), (4, 3)]
+
+
+@pytest.mark.parametrize("zipped", ["records", "whole", "no"])
+def test_warc_files(spark, tmp_path, zipped):
+    import gzip
+
+    def record(kind, number, date, http, uri="http://a.com/x"):
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{number}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {uri}\r\nContent-Length: {len(http)}\r\n\r\n"
+        return head.encode() + http + b"\r\n\r\n"
+
+    body = b"WARC/1.1 is named in this page\r\n\r\nand so is a blank line" * 3000
+    records = [
+        record("warcinfo", 0, "2024-01-01T00:00:00Z", b"software: none"), record("response", 1, "2024-01-01T00:00:00Z", b"HTTP/1.1 200 OK\r\nETag: \"1\"\r\nContent-Type: text/html\r\nVia: a\r\nVia: b\r\n\r\n" + body),
+        record("revisit", 2, "2024-01-02T00:00:00Z", b"HTTP/1.1 304 Not Modified\r\nETag: W/\"1\"\r\nAge: 5\r\n\r\n"), record("revisit", 3, "no date", b"HTTP/1.1 304\r\n\r\n"), record("response", 4, "2024-01-03T00:00:00Z", b"x" * 50)[:-30],
+    ]
+    made = {"records": b"".join(map(gzip.compress, records)), "whole": gzip.compress(b"".join(records)), "no": b"".join(records)}[zipped]
+    (tmp_path / "a.warc").write_bytes(made)
+    (tmp_path / "empty.warc").write_bytes(b"")
+    caps = warc.read_warc(spark, str(tmp_path))
+    got = {r.record_id: r for r in caps.collect()}
+    assert sorted(got) == ["<urn:1>", "<urn:2>", "<urn:3>"] and got["<urn:1>"].headers == {"etag": '"1"', "content-type": "text/html", "via": "a, b"} and got["<urn:3>"].time is None and got["<urn:3>"].status == 304
+    out = {r.record_id: r for r in warc.resolve_revisits(caps).collect()}
+    assert (out["<urn:2>"].outcome, out["<urn:2>"].response_id, out["<urn:3>"].outcome) == ("resolved", "<urn:1>", "missing") and out["<urn:2>"].payload_digest.startswith("sha1:")
+
+
+def test_a_hot_conversation(spark):
+    """One conversation with a third of all turns keeps them all, in order."""
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(600)] + [(2 + i // 2, i % 2, "assistant" if i % 2 else "user", "x") for i in range(1200)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {r.conv_id: r for r in chat.digest(chat.examples(conv)).collect()}
+    said = "".join(f"turn {i}" for i in range(1, 600, 2))
+    assert len(got) == 601 and got[1].n_turns == 600 and got[1].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_pipeline_rows_without_or_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    rows = [(None, PROSE), (None, PROSE), (None, "Another text. " * 30), (7, PROSE), (8, "A text of its own, told at length. " * 9), (8, "A text of its own, told at length. " * 9), (8, "Quite another thing under the same id. " * 9), (9, None), (9, None), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "extra") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row string")
+    kept = corpus_pipeline.near_dedup(spark, docs.select(*corpus_pipeline.COLUMNS), "")
+    texts = sorted((r.text or "")[:12] for r in kept.collect())
+    assert texts == sorted(["", "", "", "", "A text of it", "Another text", "Quite anothe", "The quick br"])
+    assert corpus_pipeline.near_dedup(spark, docs.where("false").select(*corpus_pipeline.COLUMNS), "").count() == 0

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -181,6 +182,16 @@ def test_exchange_and_sequences(spark):
     for d in docs.collect():
         assert pieces[d.doc_id] == [*exact.encode(d.text, add_special_tokens=False).ids, 0]
     assert all(len(x.input_ids) <= 2048 for x in packing.sequences(packed).collect())
+    at, used = {}, {}
+    for x in sorted(rows, key=lambda x: (x.doc_id, x.piece)):
+        before, number = at.get(x.doc_id, (0, 0))
+        assert (x.start, x.piece, x.length) == (before, number, len(x.ids)) and x.ids_crc32 == zlib.crc32(np.array(x.ids, "<u4").tobytes())
+        at[x.doc_id] = before + x.length, number + 1
+        used.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for parts in used.values():
+        assert [o for o, _ in sorted(parts)] == [0, *np.cumsum([n for _, n in sorted(parts)])[:-1].tolist()]
+    cut = {d: n for d, (_, n) in at.items() if n > 1}
+    assert cut and all(n == -(-at[d][0] // 2048) for d, n in cut.items()) and all(x.length == 2048 for x in rows if x.doc_id in cut and x.piece)
 
 
 def test_token_ids_of_odd_texts():
@@ -378,6 +389,58 @@ def test_oracles(spark, name):
     assert sorted(map(repr, map(tuple, df.select(*names).collect()))) == sorted(map(repr, got.fetchall()))
 
 
+def test_stages_equal_brute_force(spark, tmp_path):
+    """Every stage on the rows that its predecessor kept, each against a plain restatement."""
+    r = random.Random(21)
+    prose = lambda n: " ".join(f"{_text(r, 9).capitalize()}." for _ in range(n))
+    items = [_text(r, 40) for _ in range(6)]
+    texts = [prose(r.randint(8, 30)) for _ in range(60)]
+    for k in range(12):
+        words = texts[k].split()
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(len(words))] = r.choice(WORDS)
+        texts.append(" ".join(words))
+    texts += [f"{prose(6)} {item} {prose(6)}" for item in items[:4]] + [f"{prose(8)} Write to a.b{k}@mail.org or call +49 (30) 123-456{k} soon. {prose(4)}" for k in range(6)] + ["Menu\nHome\nLogin", "short."]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    held = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path)).checkpoint()
+        held[name] = {} if name == "pack" else {x.doc_id: x.text for x in docs.collect()}
+    assert len(held["quality"]) >= len(texts) - 2 and not {len(texts) - 1, len(texts) - 2} & held["quality"].keys()
+    ids = sorted(held["quality"])
+    group = _components([held["quality"][i] for i in ids])
+    assert held["near_dedup"] == {i: held["quality"][i] for k, i in enumerate(ids) if group[k] == k} and len(held["near_dedup"]) <= len(ids) - 8
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    def holds(text):
+        words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+        for item in items:
+            own, n = grams(item.split()), len(item.split())
+            for s in range(5 - n, len(words) - 4):
+                c = grams(words[max(0, s) : max(0, s + n)])
+                if 100 * (c & own).total() >= 75 * (c | own).total():
+                    return True
+        return False
+
+    assert held["decontaminate"] == {i: t for i, t in held["near_dedup"].items() if not holds(t)} and len(held["decontaminate"]) == len(held["near_dedup"]) - 4
+
+    def masked(text):
+        for kind, start, end in sorted(_base_spans(text), key=lambda x: -x[1]):
+            text = f"{text[:start]}[{kind.upper()}]{text[end:]}"
+        return text
+
+    assert held["mask_personal_data"] == {i: masked(t) for i, t in held["decontaminate"].items()} and sum("[EMAIL]" in t and "[PHONE]" in t for t in held["mask_personal_data"].values()) == 6
+    from tokenizers import Tokenizer
+
+    from millrace.llm.tokens import default_vocabulary
+
+    exact = Tokenizer.from_file(default_vocabulary())
+    lengths = {i: len(exact.encode(t, add_special_tokens=False).ids) + 1 for i, t in held["mask_personal_data"].items()}
+    packed = {x.doc_id: x.n for x in docs.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert packed == lengths and docs.select("sequence_id").distinct().count() == packing.lower_bound(np.array(list(lengths.values())))
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     before = docs
