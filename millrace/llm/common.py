@@ -72,6 +72,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values of an array, which is sorted in place; several times as fast as hashing them."""
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class WordHashes(dict):
     """Word bytes to 64-bit hashes; forgets everything at ``most`` words, so memory is bounded."""
 
@@ -102,4 +108,4 @@ def shingle_hashes(text: str | None, hashes: WordHashes, width: int = 5) -> np.n
     out = np.full(n - size + 1, size, np.uint64)
     for i in range(size):
         out = out * _MULTIPLIER + h[i : n - size + 1 + i]
-    return np.unique(mix64(out))
+    return distinct(mix64(out))
