@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .boosting import calibrate
-from .common import is_held_out, mix64, prepare
+from .common import distinct, is_held_out, mix64, prepare
 
 BUCKETS, DIMS, GRAMS = 1 << 16, 10, (3, 5)
 WINDOW, STRIDE = 8, 4
@@ -76,7 +76,7 @@ def gram_table(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray,
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     of, hashed = (np.concatenate(x) for x in zip(*found, strict=True))
-    keys = np.unique(of * buckets + (hashed % np.uint64(buckets)).astype(np.int64))
+    keys = distinct(of * buckets + (hashed % np.uint64(buckets)).astype(np.int64))
     return keys % buckets, keys // buckets
 
 
@@ -172,7 +172,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 5) -> tuple[np.ndarray,
     texts_with = np.zeros(BUCKETS, np.int64)
     for i in np.flatnonzero(~fold):
         if words[i]:
-            texts_with[np.unique(np.concatenate([ids[w] for w in set(words[i])]))] += 1
+            texts_with[distinct(np.concatenate([ids[w] for w in set(words[i])]))] += 1
     known = texts_with >= LEAST_TEXTS
     ids = {w: x[known[x]] for w, x in ids.items()}
     windows, y, owner = [], [], []
