@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import TERMINAL, TOKEN, WS, count_tokens, duck, duck_has, duck_tokens, duck_trimmed, duck_words, has, let, lit, n_words, trimmed
+from ..functions.text import TERMINAL, TOKEN, WS, count_tokens, duck, duck_has, duck_tokens, duck_trimmed, duck_words, exploded, has, let, lit, n_words, trimmed
 from ..session import shared_checkpoints
 
 CHUNK_TOKENS, OVERLAP_TOKENS = 512, 64
@@ -112,7 +112,7 @@ def refined(chunks_col: str = "chunks") -> str:
 def build_chunks(cleaned: DataFrame, id_col: str = "doc_id", text_col: str = "cleaned", **sizes) -> DataFrame:
     """One row per chunk: id, chunk_index (contiguous from 0), text, token_count."""
     df = with_chunks(cleaned, text_col, **sizes)
-    return df.select(id_col, F.posexplode(F.expr(refined())).alias("chunk_index", "c")).select(id_col, "chunk_index", F.col("c.text").alias("text"), F.col("c.tokens").alias("token_count"))
+    return exploded(df, [id_col], F.expr(refined()), "chunk_index", "c").select(id_col, "chunk_index", F.col("c.text").alias("text"), F.col("c.tokens").alias("token_count"))
 
 
 def capped(chunks: DataFrame, most: int, page_col: str = "doc_id", kb_col: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import duck, duck_any, duck_has, duck_trimmed, duck_words, has, let, lit, n_words, trimmed, SPACES
+from ..functions.text import duck, duck_any, duck_has, duck_trimmed, duck_words, exploded, has, let, lit, n_words, trimmed, SPACES
 
 #: Lines that are page furniture.
 BOILERPLATE = (
@@ -109,7 +109,7 @@ def with_lines(pages: DataFrame, text_col: str = "text") -> DataFrame:
 
 def line_verdicts(pages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line: id, line_no (from 0), line, heading, verdict."""
-    return with_lines(pages, text_col).select(id_col, F.posexplode("lines").alias("line_no", "x")).select(id_col, "line_no", "x.line", "x.heading", "x.verdict")
+    return exploded(with_lines(pages, text_col), [id_col], "lines", "line_no", "x").select(id_col, "line_no", "x.line", "x.heading", "x.verdict")
 
 
 def cleaned(pages: DataFrame, text_col: str = "text", into: str = "cleaned") -> DataFrame:

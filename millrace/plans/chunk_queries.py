@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import duck_tokens, duck_trimmed, duck, java, tokens, trimmed, truncated
+from ..functions.text import duck, duck_tokens, duck_trimmed, exploded, tokens, trimmed, truncated
 from ..operators import chunk, clean
 from ..sources.tables import spread, table
 
@@ -26,12 +26,12 @@ def sentence_split(spark, sf_dir):
 
 
 def build_units(spark, sf_dir):
-    u = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.expr(chunk.units("text", CHUNK))).alias("unit_no", "u"))
+    u = exploded(_docs(spark, sf_dir), ["doc_id"], F.expr(chunk.units("text", CHUNK)), "unit_no", "u")
     return u.select("doc_id", "unit_no", F.col("u.n").alias("n_tokens"), F.sha2("u.t", 256).alias("unit_sha256"))
 
 
 def chunk_pack(spark, sf_dir):
-    c = chunk.with_chunks(_docs(spark, sf_dir), "text", CHUNK, OVERLAP).select("doc_id", F.posexplode("chunks").alias("i", "c"))
+    c = exploded(chunk.with_chunks(_docs(spark, sf_dir), "text", CHUNK, OVERLAP), ["doc_id"], "chunks", "i", "c")
     return c.select("doc_id", "i", F.col("c.tokens").alias("tokens"), F.sha2("c.text", 256).alias("text_sha256"))
 
 
@@ -58,7 +58,7 @@ def build_chunks(spark, sf_dir):
 def chunk_cap_reindex(spark, sf_dir):
     """The first 500 chunks of each source, pages renumbered."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    built = chunk.with_chunks(clean.cleaned(docs), "cleaned", CHUNK, OVERLAP).select("doc_id", "source", F.posexplode(F.expr(chunk.refined())).alias("chunk_index", "c"))
+    built = exploded(chunk.with_chunks(clean.cleaned(docs), "cleaned", CHUNK, OVERLAP), ["doc_id", "source"], F.expr(chunk.refined()), "chunk_index", "c")
     return chunk.capped(built.select("doc_id", "source", "chunk_index", F.col("c.tokens").alias("token_count")), 500, kb_col="source").select("source", "doc_id", "page_index", "chunk_index", "token_count")
 
 
