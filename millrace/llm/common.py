@@ -81,7 +81,7 @@ def distinct(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word bytes to 64-bit hashes; forgets everything at ``most`` words, so memory is bounded."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 120_000):
         super().__init__()
         self.most = most
 
