@@ -123,6 +123,41 @@ def test_windows_equal_brute_force(spark):
     assert {k: (got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k) != want.get(k)} == {} and len(want) > 60
 
 
+@pytest.mark.parametrize("radius", [decontaminate.RADIUS, -1])
+def test_repeated_shingles_equal_brute_force(spark, radius):
+    """Texts of few words, runs of one word and items of one size with common runs, start included; at a radius of -1 no pair comes by fingerprints."""
+    r = random.Random(4)
+
+    def text(n):
+        return [w for _ in range(n) for w in [r.choice(("a", "b"))] * r.choice((1, 1, 1, 2, 7))][:n]
+
+    head = [f"w{i}" for i in range(87)]
+    items = [" ".join(head + ["la"] * 13)] + [" ".join(text(r.choice((38, r.randint(5, 60))))) for _ in range(12)]
+    docs = [" ".join(head + ["lo"] * 13)]
+    for item in items[1:]:
+        for edits in range(4):
+            words = item.split()
+            for _ in range(edits):
+                k = r.randrange(len(words))
+                words[k : k + 1] = r.choice((["z"], [], [words[k], *text(4)], [words[k]] * 4)) or ["z"]
+            docs.append(" ".join(text(r.choice((0, 3, 20, 60))) + words + text(r.choice((0, 3, 20)))))
+    docs.append(" ".join(text(1000) + items[1].split() + text(40) + items[2].split() + text(960) + items[3].split()))
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for d, doc in enumerate(docs):
+        words = doc.split()
+        for i, item in enumerate(items):
+            own, n = grams(item.split()), len(item.split())
+            for s in range(5 - n, len(words) - 4):
+                c = grams(words[max(0, s) : max(0, s + n)])
+                both = (c & own).total()
+                if 100 * both >= 75 * (total := (c | own).total()):
+                    want[d, i] = max(want.get((d, i), (0, 0)), (round(both / total, 6), -max(0, s)))
+    found = decontaminate.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), radius=radius).collect()
+    got = {(x.doc_id, x.item_id): (x.similarity, -x.start) for x in found}
+    assert {k: (got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k) != want.get(k)} == {} and len(want) > 40 and len(found) == len(got)
+
+
 def test_windows_meet_items_by_blocks(spark):
     """Of edited passages at a similarity of 0.75 to 0.85, how many share a block and lie within the radius; and how many unlike windows meet."""
     r = random.Random(9)
