@@ -6,6 +6,8 @@ only matches at the very end.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,21 @@ def duck(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+def plain(pattern: str) -> str:
+    """The Python form of an RE2 pattern, to be compiled with re.ASCII."""
+    said = {"$": r"\Z", ".": r"[^\n\r\x85\u2028\u2029]"}  # what Java's dot leaves out
+    inside, out = False, []
+    for part in re.findall(r"\\x\{[0-9A-Fa-f]+\}|\\.|.", pattern, re.S):
+        if part.startswith(r"\x{"):
+            part = re.escape(chr(int(part[3:-1], 16)))
+        elif part in ("[", "]"):
+            inside = part == "["
+        elif not inside:
+            part = said.get(part, part)
+        out.append(part)
+    return "".join(out)
+
+
 def let(name: str, value: str, body: str) -> str:
     """SQL that evaluates ``value`` once and uses it as ``name`` in ``body``, also inside lambdas.
 

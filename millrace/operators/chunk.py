@@ -22,7 +22,7 @@ VERB = (
 )
 
 
-def _window(ceiling: int) -> str:
+def window(ceiling: int) -> str:
     return rf"(?:[{WS}]*(?:{TOKEN})){{1,{ceiling}}}"
 
 
@@ -31,7 +31,7 @@ def units(text: str, chunk_tokens: int) -> str:
     ceiling = max(1, chunk_tokens // 2)
     counted = lambda x: let("t", x, let("n", count_tokens("t"), "named_struct('t', t, 'n', n)"))
     sentences = f"filter(transform(regexp_extract_all(p.t, {lit(SENTENCE)}, 0), s -> {trimmed('s')}), s -> s <> '')"
-    pieces = f"transform(filter(transform(regexp_extract_all(s.t, {lit(_window(ceiling))}, 0), w -> {trimmed('w')}), w -> w <> ''), w -> {counted('w')})"
+    pieces = f"transform(filter(transform(regexp_extract_all(s.t, {lit(window(ceiling))}, 0), w -> {trimmed('w')}), w -> w <> ''), w -> {counted('w')})"
     each = let("q", f"transform({sentences}, s -> {counted('s')})", f"flatten(transform(IF(size(q) = 0, array(p), q), s -> IF(s.n > {ceiling}, {pieces}, array(s))))")
     paragraphs = f"transform(filter(transform(split({text}, '\\n{{2,}}'), p -> {trimmed('replace(p, chr(10), chr(32))')}), p -> p <> ''), p -> {counted('p')})"
     return f"flatten(transform({paragraphs}, p -> IF(p.n <= {ceiling}, array(p), {each})))"
@@ -118,19 +118,19 @@ def build_chunks(cleaned: DataFrame, id_col: str = "doc_id", text_col: str = "cl
 def capped(chunks: DataFrame, most: int, page_col: str = "doc_id", kb_col: str | None = None) -> DataFrame:
     """The first ``most`` chunks of each knowledge base in document order (0: all), pages renumbered densely from 0 as page_index.
 
-    Every page has a chunk, so a cut lies within the first ``most`` pages, and no task ranks more than that of a knowledge base: the rest goes before the shuffle. Without a cut
+    With a cut, chunks are ranked in one pass, so what makes them runs once; each task keeps the first ``most`` of a knowledge base before the shuffle. Without a cut
     page counts are sorted by range, numbered within their range and shifted by the counts of the ranges before.
     """
     from pyspark.sql import Window
 
     keys = [kb_col] if kb_col else []
-    counts = chunks.groupBy(*keys, page_col).agg(F.count("*").alias("n"))
     if most:
-        order = Window.partitionBy(*keys).orderBy(page_col) if keys else None
-        counts = counts.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most).drop("turn") if order else counts.orderBy(page_col).limit(most)
-        order = order or Window.orderBy(page_col)
-        pages = counts.select(*keys, page_col, (F.row_number().over(order) - 1).alias("page_index"), (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
-        return chunks.join(pages, [*keys, page_col]).where(F.col("before") + F.col("chunk_index") < most).drop("before")
+        first = chunks.orderBy(page_col, "chunk_index").limit(most)
+        if keys:
+            order = Window.partitionBy(*keys).orderBy(page_col, "chunk_index")
+            first = chunks.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most).drop("turn")
+        return first.withColumn("page_index", F.dense_rank().over(Window.partitionBy(*keys).orderBy(page_col)) - 1)
+    counts = chunks.groupBy(*keys, page_col).agg(F.count("*").alias("n"))
     shared_checkpoints(chunks.sparkSession)
     ranged = counts.repartitionByRange(*keys, page_col).withColumn("range", F.spark_partition_id()).checkpoint()
     shifts = ranged.groupBy(*keys, "range").agg(F.count("*").alias("pages"))
@@ -147,7 +147,7 @@ def capped(chunks: DataFrame, most: int, page_col: str = "doc_id", kb_col: str |
 def duck_units(text: str, chunk_tokens: int) -> str:
     ceiling = max(1, chunk_tokens // 2)
     sentences = f"list_filter(list_transform(regexp_extract_all(p, {duck(SENTENCE)}), lambda s: {duck_trimmed('s')}), lambda s: s <> '')"
-    pieces = f"list_filter(list_transform(regexp_extract_all(s, {duck(_window(ceiling))}), lambda w: {duck_trimmed('w')}), lambda w: w <> '')"
+    pieces = f"list_filter(list_transform(regexp_extract_all(s, {duck(window(ceiling))}), lambda w: {duck_trimmed('w')}), lambda w: w <> '')"
     each = f"flatten(list_transform(case when len({sentences}) = 0 then [p] else {sentences} end, lambda s: case when {duck_tokens('s')} > {ceiling} then {pieces} else [s] end))"
     paragraphs = f"list_filter(list_transform(regexp_split_to_array({text}, '\\n{{2,}}'), lambda p: {duck_trimmed('replace(p, chr(10), chr(32))')}), lambda p: p <> '')"
     return f"list_transform(flatten(list_transform({paragraphs}, lambda p: case when {duck_tokens('p')} <= {ceiling} then [p] else {each} end)), lambda u: {{'t': u, 'n': {duck_tokens('u')}}})"

@@ -40,7 +40,7 @@ CITATION = (
     r"\([A-Z][\w\s.]*:\s*[^)]*,\s*(19|20)\d{2}\)",
 )
 #: What a line must contain, in lower case, for a pattern to be worth matching; the others are anchored or cheap.
-_NEEDS = {
+NEEDS = {
     BOILERPLATE[6]: ("cookie",),
     BOILERPLATE[7]: ("cookie",),
     BOILERPLATE[8]: ("cookie",),
@@ -61,7 +61,7 @@ EDIT = r"(?i)\s*\[edit\]\s*$"
 
 def _any_of(x: str, low: str, patterns: tuple[str, ...]) -> str:
     def one(p: str) -> str:
-        needs = " OR ".join(f"contains({low}, '{n}')" for n in _NEEDS.get(p, ()))
+        needs = " OR ".join(f"contains({low}, '{n}')" for n in NEEDS.get(p, ()))
         return f"(({needs}) AND {has(x, p)})" if needs else has(x, p)
 
     return "(" + " OR ".join(map(one, patterns)) + ")"

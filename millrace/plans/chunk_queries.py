@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import duck, duck_tokens, duck_trimmed, exploded, tokens, trimmed, truncated
-from ..operators import chunk, clean
+from ..operators import chunk, clean, passages
 from ..sources.tables import spread, table
 
 CHUNK, OVERLAP = 128, 24
@@ -58,8 +58,8 @@ def build_chunks(spark, sf_dir):
 def chunk_cap_reindex(spark, sf_dir):
     """The first 500 chunks of each source, pages renumbered."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    built = exploded(chunk.with_chunks(clean.cleaned(docs), "cleaned", CHUNK, OVERLAP), ["doc_id", "source"], F.expr(chunk.refined()), "chunk_index", "c")
-    return chunk.capped(built.select("doc_id", "source", "chunk_index", F.col("c.tokens").alias("token_count")), 500, kb_col="source").select("source", "doc_id", "page_index", "chunk_index", "token_count")
+    built = passages.built(docs, ["doc_id", "source"], chunk_tokens=CHUNK, overlap_tokens=OVERLAP, texts=False)
+    return chunk.capped(built, 500, kb_col="source").select("source", "doc_id", "page_index", "chunk_index", "token_count")
 
 
 _FOLD = chunk.oracle_chunks("src", CHUNK, OVERLAP)

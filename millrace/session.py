@@ -15,6 +15,14 @@ def shared_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small enough for very long texts: two settings are lowered for the session, as the plans that need them run later."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        value = spark.conf.get(key, None)
+        if value is None or not value.isdigit() or not 0 < int(value) <= most:
+            spark.conf.set(key, str(most))
+
+
 def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benches."""
     settings = {
