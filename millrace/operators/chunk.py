@@ -1,4 +1,4 @@
-"""Chunking: paragraphs and sentences packed into overlapping chunks, and the prose filters on chunks. Array expressions only; nothing is shuffled.
+"""Chunking: paragraphs and sentences packed into overlapping chunks, and the prose filters on chunks. Array expressions, but for ``build_chunks``; nothing is shuffled.
 
 Token counts are those of ``functions.text.TOKEN``, an additive stand-in for a BPE, so a chunk's size is the sum of its units'.
 """
@@ -111,8 +111,9 @@ def refined(chunks_col: str = "chunks") -> str:
 
 def build_chunks(cleaned: DataFrame, id_col: str = "doc_id", text_col: str = "cleaned", **sizes) -> DataFrame:
     """One row per chunk: id, chunk_index (contiguous from 0), text, token_count."""
-    df = with_chunks(cleaned, text_col, **sizes)
-    return exploded(df, [id_col], F.expr(refined()), "chunk_index", "c").select(id_col, "chunk_index", F.col("c.text").alias("text"), F.col("c.tokens").alias("token_count"))
+    from .passages import built
+
+    return built(cleaned, [id_col], text_col, clean_first=False, **sizes)
 
 
 def capped(chunks: DataFrame, most: int, page_col: str = "doc_id", kb_col: str | None = None) -> DataFrame:

@@ -48,7 +48,7 @@ def listing_lines(spark, sf_dir):
 
 
 def _built(spark, sf_dir):
-    return chunk.build_chunks(clean.cleaned(_docs(spark, sf_dir)), chunk_tokens=CHUNK, overlap_tokens=OVERLAP)
+    return passages.built(_docs(spark, sf_dir), ["doc_id"], chunk_tokens=CHUNK, overlap_tokens=OVERLAP)
 
 
 def build_chunks(spark, sf_dir):
