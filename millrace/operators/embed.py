@@ -1,4 +1,4 @@
-"""A deterministic embedder: signed feature hashing of content terms. Terms are found in SQL; the hashing runs in numpy over Arrow batches, as a model would."""
+"""A deterministic embedder: signed feature hashing of content terms. SQL leaves letters and digits; terms are listed and hashed in Python over Arrow batches, as a model would."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .ground import terms_sql
+from .ground import lettered_sql, lettered_terms
 
 
 def hashed(terms: list[str] | None, dimensions: int) -> list[float] | None:
@@ -26,7 +26,7 @@ def embedded(text: str, dimensions: int = 128) -> Column:
     """The vector of a text column, null for a text without terms."""
 
     @F.pandas_udf("array<float>")
-    def unit(terms: pd.Series) -> pd.Series:
-        return pd.Series([hashed(t, dimensions) for t in terms], dtype=object)
+    def unit(texts: pd.Series) -> pd.Series:
+        return pd.Series([hashed(lettered_terms(t), dimensions) for t in texts], dtype=object)
 
-    return unit(F.expr(terms_sql(text)))
+    return unit(F.expr(lettered_sql(text)))

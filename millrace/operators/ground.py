@@ -19,6 +19,7 @@ STOPWORDS = tuple(
         "comprehensive detailed thorough brief short long longer additional extra deeper depth length word words sentence sentences line lines"
     ).split()
 )
+_STOPPED = frozenset(STOPWORDS)
 #: Fixed value: requests for a long answer.
 LONG_REQUEST = (
     r"(?i)\b(essay|elaborate|expand|in detail|detailed|comprehensive|thorough|at length|full(?:y)?\s+(?:explain|describe|cover)|more detail|go deeper|deep dive|write (?:a|an|me)?\s*(?:long|full|complete)|"
@@ -32,10 +33,14 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS)))
 
 
-def terms_sql(text: str) -> str:
-    """``terms`` as SQL."""
-    words = ", ".join(f"'{w}'" for w in STOPWORDS)
-    return f"array_distinct(filter(split(regexp_replace(lower({text}), {lit(rf'[^\p{{L}}\p{{N}}{WS}]')}, ' '), {lit(f'[{WS}]+')}), w -> char_length(w) > 2 AND w NOT IN ({words})))"
+def lettered_sql(text: str) -> str:
+    """SQL of a text in lower case with a blank for what is no letter, digit or white space."""
+    return f"regexp_replace(lower({text}), {lit(rf'[^\p{{L}}\p{{N}}{WS}]')}, ' ')"
+
+
+def lettered_terms(text: str | None) -> list[str] | None:
+    """``terms`` of a text that ``lettered_sql`` made. Of its white space only U+FEFF is none to Python."""
+    return text if text is None else list(dict.fromkeys(w for w in text.replace("\ufeff", " ").split() if len(w) > 2 and w not in _STOPPED))
 
 
 def wants_long(text: Column) -> Column:

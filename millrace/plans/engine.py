@@ -12,18 +12,18 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import urls
-from ..functions.text import exploded, tokens, truncated
-from ..operators import answer, catalog, chunk, clean, ground, vectors
+from ..functions.text import tokens, truncated
+from ..operators import answer, catalog, chunk, ground, vectors
 from ..operators.crawl import crawl
 from ..operators.embed import embedded
+from ..operators.passages import built
 from ..sources.html import extracted
 
 
 def indexed(pages: DataFrame, config: EngineConfig, page_col: str = "page_id", kb_col: str = "kb_id") -> DataFrame:
     """Chunks of pages (page, kb, url, title, text): page, kb, url, title, chunk_index, chunk_id, content, token_count, embedding. Nothing is shuffled."""
-    df = chunk.with_chunks(clean.cleaned(pages), "cleaned", config.chunk_tokens, config.overlap_tokens)
-    df = exploded(df, [page_col, kb_col, "url", "title"], F.expr(chunk.refined()), "chunk_index", "c")
-    df = df.select(page_col, kb_col, "url", "title", "chunk_index", F.concat_ws(":", page_col, "chunk_index").alias("chunk_id"), F.col("c.text").alias("content"), F.col("c.tokens").alias("token_count"))
+    df = built(pages, [page_col, kb_col, "url", "title"], "text", config.chunk_tokens, config.overlap_tokens)
+    df = df.select(page_col, kb_col, "url", "title", "chunk_index", F.concat_ws(":", page_col, "chunk_index").alias("chunk_id"), F.col("text").alias("content"), "token_count")
     return df.withColumn("embedding", embedded("content", config.dimensions)).where("embedding is not null")
 
 

@@ -8,7 +8,7 @@ from ..config import EngineConfig
 from ..operators.crawl import crawl
 from ..session import shared_checkpoints
 from ..sources.html import extracted
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import engine
 
 #: Hashed vectors of short questions and long chunks are far apart, so the floor is lower than for a trained embedder.
@@ -29,7 +29,7 @@ def crawl_bfs(spark, sf_dir):
 
 
 def ask_batch(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.col("source").alias("kb_id"), F.concat(F.lit("https://example.org/"), "doc_id").alias("url"), F.col("source").alias("title"), "text")
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("page_id"), F.col("source").alias("kb_id"), F.concat(F.lit("https://example.org/"), "doc_id").alias("url"), F.col("source").alias("title"), "text")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     shared_checkpoints(spark)
     out = engine.ask(asked, engine.indexed(docs, _CONFIG).checkpoint(), _CONFIG)

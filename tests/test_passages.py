@@ -69,3 +69,15 @@ def test_builds_cost_well_under_the_expressions(spark):
         return min(took)
 
     assert seconds(passages.built(df, ["doc_id"], chunk_tokens=128, overlap_tokens=24)) < seconds(by_rule) / 2
+
+
+def test_engine_indexes_in_the_pass_and_lists_the_same_terms(spark):
+    from millrace.config import EngineConfig
+    from millrace.operators import ground
+    from millrace.plans import engine
+
+    df = spark.createDataFrame(list(enumerate(_texts())), "i int, text string").withColumn("said", F.expr(ground.lettered_sql("text"))).withColumn("terms", ground.terms(F.col("text")))
+    assert all(ground.lettered_terms(r.said) == (None if r.terms is None else [t for t in r.terms]) for r in df.collect())
+    pages = spark.createDataFrame([(1, "a", "u", "t", "x")], "page_id int, kb_id string, url string, title string, text string")
+    plan = engine.indexed(pages, EngineConfig())._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "lambda" not in plan
