@@ -8,20 +8,32 @@ from ..operators import catalog as k
 from ..sources.tables import table
 
 
-def tables(spark, sf_dir):
+#: Line items that a task joins and groups; a table of more is dealt into as many tasks as that takes, so a task's memory does not grow with the table.
+ROWS_A_TASK = 1_000_000
+
+
+def kbs_and_pages(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("https://"), "c_name").alias("site_url"), F.col("c_name").alias("site_title"),
         F.when(F.col("c_mktsegment") == "BUILDING", "indexing").when(F.col("c_mktsegment") == "MACHINERY", "failed").otherwise("ready").alias("status"),
         F.lit(None).cast("string").alias("error"), F.lit(0).alias("page_count"), F.lit(0).alias("chunk_count"),
     )
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.col("o_custkey").cast("string").alias("kb_id"), F.col("o_orderpriority").alias("url"), F.col("o_orderdate").alias("scraped_at"))
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("chunk_index"))
-    return c, o, li.join(o.select("page_id", "kb_id"), "page_id")
+    return c, o
+
+
+def tables(spark, sf_dir):
+    c, o = kbs_and_pages(spark, sf_dir)
+    li, own = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("chunk_index")), o.select("page_id", "kb_id")
+    if (n := li.count()) > ROWS_A_TASK:  # without a stated number, adaptive execution merges partitions again
+        parts = max(-(-n // ROWS_A_TASK), spark.sparkContext.defaultParallelism)
+        li, own = li.repartition(parts, "page_id"), own.repartition(parts, "page_id")
+    return c, o, li.join(own, "page_id")
 
 
 def upsert_catalog(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.concat(F.lit("https://Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("site_url"), F.col("s_name").alias("site_title"))
-    return k.upserted(tables(spark, sf_dir)[0], s)
+    return k.upserted(kbs_and_pages(spark, sf_dir)[0], s)
 
 
 def stale_recovery(spark, sf_dir):
@@ -39,15 +51,15 @@ def corpus_stats(spark, sf_dir):
 
 
 def list_sites(spark, sf_dir):
-    return tables(spark, sf_dir)[0].select("id", "site_url", "status").orderBy(F.desc("site_url"))
+    return kbs_and_pages(spark, sf_dir)[0].select("id", "site_url", "status").orderBy(F.desc("site_url"))
 
 
 def site_by_url(spark, sf_dir):
-    return tables(spark, sf_dir)[0].where(F.col("site_url") == "https://Customer#000000007").select("id", "site_url", "status")
+    return kbs_and_pages(spark, sf_dir)[0].where(F.col("site_url") == "https://Customer#000000007").select("id", "site_url", "status")
 
 
 def list_pages(spark, sf_dir):
-    return tables(spark, sf_dir)[1].where("kb_id = '7'").orderBy("scraped_at", "page_id").select("page_id", "url", F.col("scraped_at").cast("string").alias("scraped_at"))
+    return kbs_and_pages(spark, sf_dir)[1].where("kb_id = '7'").orderBy("scraped_at", "page_id").select("page_id", "url", F.col("scraped_at").cast("string").alias("scraped_at"))
 
 
 def count_by_kb(spark, sf_dir):
@@ -59,12 +71,12 @@ def constraint_violations(spark, sf_dir):
 
 
 def mark_states(spark, sf_dir):
-    c = k.marked_failed(k.marked_ready(tables(spark, sf_dir)[0], "1", 3, 9), "2", "x" * 3000)
+    c = k.marked_failed(k.marked_ready(kbs_and_pages(spark, sf_dir)[0], "1", 3, 9), "2", "x" * 3000)
     return c.select("id", "status", F.length("error").alias("error_chars"), "page_count", "chunk_count")
 
 
 def replace_content(spark, sf_dir):
-    pages = tables(spark, sf_dir)[1].select("page_id", "kb_id")
+    pages = kbs_and_pages(spark, sf_dir)[1].select("page_id", "kb_id")
     return k.replaced(pages, pages.where("kb_id = '7'").select((F.col("page_id") + 1_000_000_000).alias("page_id"), "kb_id"), "7").groupBy("kb_id").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
 
 
