@@ -58,9 +58,9 @@ def fit(chunks: DataFrame, cells: int = 64, k: int = 10, recall: float = 0.97, *
     return Centres(units, probes)
 
 
-def _cells(centres):
+def _cells(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = centres.value.units
+        units = shared.value
         for batch in batches:
             cell = np.full(batch.num_rows, -1)
             at, rows = vectors.matrix(batch.column("embedding")).get(units.shape[1], (np.empty(0, int), None))
@@ -73,7 +73,7 @@ def _cells(centres):
 
 def indexed(chunks: DataFrame, centres: Centres) -> DataFrame:
     """Every row of chunks with its cell; -1 for vectors that no search can meet."""
-    shared = chunks.sparkSession.sparkContext.broadcast(centres)
+    shared = chunks.sparkSession.sparkContext.broadcast(centres.units)  # a plain array: what is broadcast is no code that travels with the plan
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema if f.name != "cell")
     return chunks.drop("cell").mapInArrow(_cells(shared), types + ", cell int")
 

@@ -7,6 +7,7 @@ Spark's window group limit, so a batch of queries moves k rows per task and quer
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from ..session import small_batches
 
-#: Queries are broadcast against all chunks up to this many; a larger batch is an error, to be sent in blocks.
+#: Queries are broadcast against all chunks in blocks of up to this many; a larger batch takes one pass over the chunks for each block.
 MOST_QUERIES = 20_000
-#: Pairs that are scored at once, eight bytes each.
-PAIRS = 4_000_000
+#: Pairs that are scored at once, eight bytes each, and the queries among them.
+PAIRS, QUERIES_AT_ONCE = 1_000_000, 2000
 
 
 def norm(x: str) -> Column:
@@ -65,25 +67,32 @@ def matrix(vectors: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, n
 def _scores(asked, min_score: float, most: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries, probes = asked.value
+        # The best scores of each query so far: what is below its ``most`` best of this task cannot be among its best at all.
+        best = {size: np.full((most, len(places)), -np.inf) for size, (places, _) in queries.items()} if most is not None else {}
         for batch in batches:
             for size, (at, rows) in matrix(batch.column("embedding")).items():
                 if size not in queries:
                     continue
                 places, units = queries[size]
                 cells = batch.column("cell").to_numpy(zero_copy_only=False)[at] if probes is not None else None
-                step = max(1, PAIRS // len(places))
-                for begin in range(0, len(at), step):
-                    score = rows[begin : begin + step] @ units.T
-                    keep = score >= min_score
-                    if probes is not None:
-                        keep &= probes[places][:, cells[begin : begin + step]].T
-                    if most is not None and len(score) > most:
-                        score = np.where(keep, score, -np.inf)
-                        keep &= score >= np.partition(score, len(score) - most, axis=0)[len(score) - most]
-                    row, query = np.nonzero(keep)
-                    if len(row):
-                        own = batch.select(["chunk_id", "kb_id", "token_count"]).take(pa.array(at[begin + row]))
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(places[query])), *own.columns, pa.array(score[row, query])], ["query_id", "chunk_id", "kb_id", "token_count", "score"])
+                for first in range(0, len(places), QUERIES_AT_ONCE):
+                    block = slice(first, first + QUERIES_AT_ONCE)
+                    step = max(1, PAIRS // len(places[block]))
+                    for begin in range(0, len(at), step):
+                        score = rows[begin : begin + step] @ units[block].T
+                        keep = score >= min_score
+                        if probes is not None:
+                            keep &= probes[places[block]].T[cells[begin : begin + step]]
+                        if most is not None:
+                            score[~keep] = -np.inf
+                            held = np.concatenate([best[size][:, block], score])
+                            held.partition(len(score), axis=0)
+                            best[size][:, block] = held[len(score) :]
+                            keep &= score >= held[len(score)]
+                        row, query = np.nonzero(keep)
+                        if len(row):
+                            own = batch.select(["chunk_id", "kb_id", "token_count"]).take(pa.array(at[begin + row]))
+                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(places[block][query])), *own.columns, pa.array(score[row, query])], ["query_id", "chunk_id", "kb_id", "token_count", "score"])
 
     return run
 
@@ -94,17 +103,22 @@ def scored(queries: DataFrame, chunks: DataFrame, min_score: float, ready: DataF
     queries: query_id, query; chunks: chunk_id, kb_id, token_count, embedding; ready: kb_id of the knowledge bases to search; only: null or empty for all. Vectors that are null,
     of another length, not finite or zero meet nothing. ``probes`` gives for unit queries by rows the cells to look into, for chunks with a cell.
     """
-    n = queries.count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"{n} queries in one batch; send at most {MOST_QUERIES}")
     pool = chunks
     if ready is not None:
         pool = pool.join(ready.select("kb_id"), "kb_id", "left_semi")
     if only:
         pool = pool.where(F.col("kb_id").isin(only))
     asked = queries.select("query_id", "query").toArrow()
-    by_size, looked = matrix(asked.column("query")), None
     pool = pool.select("chunk_id", "kb_id", "token_count", "embedding", *(["cell"] if probes else []))
+    types = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for d, c in ((queries, "query_id"), (pool, "chunk_id"), (pool, "kb_id"), (pool, "token_count")))
+    small_batches(queries.sparkSession)
+    blocks = [_scored(asked.slice(at, MOST_QUERIES), pool, min_score, most, probes, types + ", score double") for at in range(0, max(1, asked.num_rows), MOST_QUERIES)]
+    return reduce(DataFrame.unionAll, blocks)
+
+
+def _scored(asked: pa.Table, pool: DataFrame, min_score: float, most: int | None, probes: Callable | None, types: str) -> DataFrame:
+    """``scored`` for one block of queries."""
+    by_size, looked = matrix(asked.column("query")), None
     if probes:
         looked = np.zeros((asked.num_rows, 0), bool)
         for at, units in by_size.values():
@@ -112,9 +126,8 @@ def scored(queries: DataFrame, chunks: DataFrame, min_score: float, ready: DataF
             looked = np.zeros((asked.num_rows, own.shape[1]), bool)
             looked[at] = own
         pool = pool.where(F.col("cell").isin(np.flatnonzero(looked.any(axis=0)).tolist()))
-    shared = queries.sparkSession.sparkContext.broadcast((asked.column("query_id").combine_chunks(), by_size, looked))
-    types = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for d, c in ((queries, "query_id"), (pool, "chunk_id"), (pool, "kb_id"), (pool, "token_count")))
-    return pool.mapInArrow(_scores(shared, min_score, most), types + ", score double")
+    shared = pool.sparkSession.sparkContext.broadcast((asked.column("query_id").combine_chunks(), by_size, looked))
+    return pool.mapInArrow(_scores(shared, min_score, most), types)
 
 
 def top_k(found: DataFrame, k: int) -> DataFrame:
